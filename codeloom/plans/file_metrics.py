@@ -52,7 +52,9 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.withColumns({"size_bytes": size, "status": status}).withColumns(
         {
             "text": F.when(ok & ~F.col("is_definition"), F.col("content")).otherwise(F.lit("")),
-            "definition": F.when(ok & F.col("is_definition"), definition_counts(F.col("content"))),
+            "definition": F.when(
+                F.col("is_definition") & F.col("content").isNotNull(), definition_counts(F.col("content"))
+            ),
         }
     )
 
