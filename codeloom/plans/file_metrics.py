@@ -230,20 +230,20 @@ def file_metrics(files: DataFrame, provided: dict[str, Column] | None = None) ->
 
 def security_issues(files: DataFrame) -> DataFrame:
     """One row per security finding, located."""
-    texts = with_text(files).where(F.length("text") > 0)
+    texts = with_text(files)
     return texts.select(*KEY, F.inline(fd.security_findings("text", "family")))
 
 
 def code_smells(files: DataFrame, extra_rules: Sequence[Rule] = ()) -> DataFrame:
     """One row per code smell, located."""
-    texts = with_text(files).where(F.length("text") > 0)
+    texts = with_text(files)
     items = fd.smell_findings("text", "family", "comment_marker", extra_rules)
     return texts.select(*KEY, F.inline(items))
 
 
 def findings(files: DataFrame, extra_smells: Sequence[Rule] = ()) -> DataFrame:
     """Security findings and code smells in one table, from one pass over the content."""
-    texts = with_text(files).where(F.length("text") > 0)
+    texts = with_text(files)
     kinds = F.array(
         F.struct(F.lit("security").alias("kind"), fd.security_findings("text", "family").alias("items")),
         F.struct(
@@ -256,5 +256,5 @@ def findings(files: DataFrame, extra_smells: Sequence[Rule] = ()) -> DataFrame:
 
 def pattern_hits(files: DataFrame) -> DataFrame:
     """One row per design-pattern hit, with its context."""
-    texts = with_text(files).where(F.length("text") > 0)
+    texts = with_text(files)
     return texts.select(*KEY, F.inline(fd.pattern_findings("text", "family")))
