@@ -28,13 +28,19 @@ def lines_of(text: Column) -> Column:
 
 
 def newlines(text: Column) -> Column:
-    return occurrences(text, "\n")
+    return _removed(text, "\n")
+
+
+def _removed(text: Column, part: str) -> Column:
+    """How often replacing takes the part out; byte lengths are known without a scan."""
+    bytes_removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+    size = len(part.encode())
+    return bytes_removed if size == 1 else (bytes_removed / F.lit(size)).cast("int")
 
 
 def occurrences(text: Column, part: str) -> Column:
     """Non-overlapping occurrences of a literal."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
-    return removed if len(part) == 1 else (removed / F.lit(len(part))).cast("int")
+    return F.when(text.contains(part), _removed(text, part)).otherwise(0)
 
 
 def split_lines(text: Column) -> Column:
@@ -52,9 +58,9 @@ def filled_lines(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{SPACE_RANGES}][^\\n]*+"))
 
 
-def words(text: Column) -> Column:
-    """All maximal runs of word characters."""
-    return F.regexp_extract_all(text, F.lit(f"{WORD}++"), F.lit(0))
+def identifiers(text: Column) -> Column:
+    """All whole words that are ASCII identifiers; every keyword is one of them."""
+    return F.regexp_extract_all(text, F.lit(f"(?<!{WORD})[A-Za-z_][A-Za-z0-9_]*+(?!{WORD})"), F.lit(0))
 
 
 def count_matches(text: Column, pattern: str) -> Column:

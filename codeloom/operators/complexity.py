@@ -11,18 +11,18 @@ from codeloom.constants.levels import (
 )
 from codeloom.functions.regex import WORD
 from codeloom.functions.text import (
-    banded, contains_any, count_matches, count_where, let, lines_of, occurrences, strip, words,
+    banded, contains_any, count_matches, count_where, let, lines_of, occurrences, strip,
 )
 
 OPERATOR_RUN = r"[+\-*/=<>!&|^~%]+"
 ELSE_IF = r"\belse\s+if\b"
-NUMBER = rf"(?<!{WORD})\p{{Nd}}++(?:\.\p{{Nd}}+)?(?!{WORD})"
+# A digit first: the look-behind is then only tried where a digit stands.
+NUMBER = rf"\p{{Nd}}(?<!{WORD}\p{{Nd}})\p{{Nd}}*+(?:\.\p{{Nd}}+)?(?!{WORD})"
 STRING_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"' + r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
-IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
 
 
 def cyclomatic(content: Column, family: Column, tokens: Column) -> Column:
-    """1 plus the branch tokens; ``tokens`` are the file's words. "else if" counts twice."""
+    """1 plus the branch tokens; ``tokens`` are the file's identifiers. "else if" counts twice."""
 
     def branches(branch_words: tuple[str, ...]) -> Column:
         return (
@@ -111,15 +111,13 @@ def halstead_parts(content: Column, family: Column, tokens: Column) -> Column:
     distinct counts add up.
     """
 
-    def is_operator(word: Column) -> Column:
-        return F.when(family == "python", word.isin(*PYTHON_OPERATOR_WORDS)).otherwise(
-            word.isin(*OTHER_OPERATOR_WORDS)
-        )
-
+    keywords = F.when(
+        family == "python", F.filter(tokens, lambda word: word.isin(*PYTHON_OPERATOR_WORDS))
+    ).otherwise(F.filter(tokens, lambda word: word.isin(*OTHER_OPERATOR_WORDS)))
     raw = F.struct(
         F.regexp_extract_all(content, F.lit(OPERATOR_RUN + "+"), F.lit(0)).alias("symbols"),
-        F.filter(tokens, is_operator).alias("keywords"),
-        F.filter(tokens, lambda word: word.rlike(IDENTIFIER) & ~is_operator(word)).alias("names"),
+        keywords.alias("keywords"),
+        tokens.alias("words"),
         F.regexp_extract_all(content, F.lit(NUMBER), F.lit(0)).alias("numbers"),
         F.when(
             contains_any(content, ('"', "'")),
@@ -127,25 +125,26 @@ def halstead_parts(content: Column, family: Column, tokens: Column) -> Column:
         ).otherwise(F.expr("cast(array() as array<string>)")).alias("strings"),
     )
 
-    def total(parts: Column, *names: str) -> Column:
-        out = F.lit(0)
-        for name in names:
-            out = out + F.size(parts[name])
-        return out
+    def sizes(parts: Column) -> dict[str, Column]:
+        return {name: F.size(parts[name]) for name in ("symbols", "keywords", "words", "numbers", "strings")}
+
+    def distinct(parts: Column) -> dict[str, Column]:
+        return {name: F.size(F.array_distinct(parts[name])) for name in sizes(parts)}
+
+    def operators(n: dict[str, Column]) -> Column:
+        return n["symbols"] + n["keywords"]
 
-    def distinct(parts: Column, *names: str) -> Column:
-        out = F.lit(0)
-        for name in names:
-            out = out + F.size(F.array_distinct(parts[name]))
-        return out
+    def operands(n: dict[str, Column]) -> Column:
+        # Words that are not keywords.
+        return n["words"] - n["keywords"] + n["numbers"] + n["strings"]
 
     return let(
         raw,
         lambda parts: F.struct(
-            total(parts, "symbols", "keywords").alias("operators"),
-            total(parts, "names", "numbers", "strings").alias("operands"),
-            distinct(parts, "symbols", "keywords").alias("distinct_operators"),
-            distinct(parts, "names", "numbers", "strings").alias("distinct_operands"),
+            operators(sizes(parts)).alias("operators"),
+            operands(sizes(parts)).alias("operands"),
+            operators(distinct(parts)).alias("distinct_operators"),
+            operands(distinct(parts)).alias("distinct_operands"),
         ),
     )
 

@@ -17,27 +17,47 @@ _EMPTY_CHUNKS = "cast(array() as array<struct<key:struct<a:bigint,b:bigint>,line
 
 
 def chunks_of(content: Column) -> Column:
-    """array<struct<key,line>>: every six-line chunk of enough text. The key is a 128-bit hash, so
-    neither a sort nor a shuffle carries chunk text."""
-
-    def chunked(lines: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(lines) - (CHUNK_LINES - 1))
-        texts = F.transform(starts, lambda i: F.array_join(F.slice(lines, i, F.lit(CHUNK_LINES)), "\n"))
-        keyed = F.transform(
-            texts,
-            lambda text, i: F.struct(
-                F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("key"),
-                (i + 1).alias("line"),
-                ((F.length(text) >= MIN_CHUNK_CHARS) & (F.length(strip(text)) >= MIN_CHUNK_CHARS)).alias("big"),
-            ),
+    """array<struct<key,line>>: every six-line chunk of enough text.
+
+    The key is a 128-bit hash over the hashes of the six lines, so neither a sort nor a shuffle
+    carries chunk text and each line is hashed once, not six times.
+    """
+
+    def measured(lines: Column) -> Column:
+        return F.struct(
+            lines.alias("lines"),
+            F.transform(lines, lambda line: F.xxhash64(line)).alias("a"),
+            F.transform(lines, lambda line: F.xxhash64(F.lit(1), line)).alias("b"),
+            F.transform(lines, lambda line: F.length(strip(line))).alias("solid"),
+        )
+
+    def big(m: Column, i: Column) -> Column:
+        """Whether the chunk at ``i`` has enough characters without white space at its ends. The
+        stripped lines are a lower bound; only below it the text is put together."""
+        solid = F.lit(0)
+        for k in range(CHUNK_LINES):
+            solid = solid + F.get(m["solid"], i + k - 1)
+        text = F.array_join(F.slice(m["lines"], i, F.lit(CHUNK_LINES)), "\n")
+        return (solid >= MIN_CHUNK_CHARS) | (F.length(strip(text)) >= MIN_CHUNK_CHARS)
+
+    def keyed(m: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(m["lines"]) - (CHUNK_LINES - 1)), lambda i: big(m, i)
         )
         return F.transform(
-            F.filter(keyed, lambda k: k["big"]),
-            lambda k: F.struct(k["key"].alias("key"), k["line"].alias("line")),
+            starts,
+            lambda i: F.struct(
+                F.struct(
+                    F.xxhash64(F.slice(m["a"], i, F.lit(CHUNK_LINES))).alias("a"),
+                    F.xxhash64(F.slice(m["b"], i, F.lit(CHUNK_LINES))).alias("b"),
+                ).alias("key"),
+                i.alias("line"),
+            ),
         )
 
     enough = newlines(content) >= CHUNK_LINES - 1
-    return F.when(enough, let(lines_of(content), chunked)).otherwise(F.expr(_EMPTY_CHUNKS))
+    chunks = let(lines_of(content), lambda lines: let(measured(lines), keyed))
+    return F.when(enough, chunks).otherwise(F.expr(_EMPTY_CHUNKS))
 
 
 def repeated_chunks(content: Column) -> Column:
@@ -47,27 +67,27 @@ def repeated_chunks(content: Column) -> Column:
     """
 
     def pairs(ordered: Column) -> Column:
-        seconds = F.filter(
-            F.transform(
-                ordered,
-                lambda c, i: F.struct(
-                    F.get(ordered, i - 1)["line"].alias("first"),
-                    c["line"].alias("second"),
-                    (
-                        F.coalesce(F.get(ordered, i - 1)["key"] == c["key"], F.lit(False))
-                        & ~F.coalesce(F.get(ordered, i - 2)["key"] == c["key"], F.lit(False))
-                    ).alias("repeats"),
-                ),
+        def same(i: Column, back: int, key: Column) -> Column:
+            return F.coalesce(F.get(ordered, i - back)["key"] == key, F.lit(False))
+
+        # Where a key occurs for the second time, its first place is the entry before.
+        marked = F.transform(
+            ordered,
+            lambda c, i: F.when(
+                same(i, 1, c["key"]) & ~same(i, 2, c["key"]),
+                F.struct(F.get(ordered, i - 1)["line"].alias("first"), c["line"].alias("second")),
             ),
-            lambda p: p["repeats"],
-        )
-        return F.transform(
-            seconds, lambda p: F.struct(p["first"].alias("first"), p["second"].alias("second"))
         )
+        return F.filter(marked, lambda pair: pair.isNotNull())
+
+    def repeated(chunks: Column) -> Column:
+        hashes = F.transform(chunks, lambda c: c["key"]["a"])
+        some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(some, let(F.sort_array(chunks), pairs)).otherwise(F.expr(_EMPTY_PAIRS))
 
     # Two distinct starts need one line more than a chunk.
     enough = newlines(content) >= CHUNK_LINES
-    return F.when(enough, let(F.sort_array(chunks_of(content)), pairs)).otherwise(F.expr(_EMPTY_PAIRS))
+    return F.when(enough, let(chunks_of(content), repeated)).otherwise(F.expr(_EMPTY_PAIRS))
 
 
 def duplicated_lines(chunks: Column) -> Column:

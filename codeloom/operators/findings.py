@@ -213,15 +213,15 @@ def _function(name, hit, length) -> Column:
     )
 
 
-def python_functions(content: Column) -> Column:
-    """array<function>: lines after a `def` up to the next filled line at column 0, blanks left out.
+def _python_lengths(content: Column) -> Column:
+    """array<int>: for each `def`, the filled lines up to the next filled line at column 0.
 
     One pass from the end of the file over three kinds of marks: a filled line at column 0, a filled
     indented line, a definition.
     """
     filled = rf"(?=[^{SPACE_RANGES}])"
     marks = java_regex(rf"def(?=\s+\w+\s*\()|\n[{INLINE_SPACE_RANGES}]*+{filled}")
-    lengths = running(
+    backwards = running(
         F.reverse(F.regexp_extract_all(content, F.lit(marks), F.lit(0))),
         F.struct(F.lit(0).alias("lines")),
         emit=lambda state, mark: state["lines"],
@@ -234,11 +234,26 @@ def python_functions(content: Column) -> Column:
         emitted="int",
         keep=lambda mark: mark == "def",
     )
-    return F.zip_with(
-        scan(content, java_regex(PYTHON_FUNCTION)),
-        F.reverse(lengths),
-        lambda hit, length: _function(
-            F.regexp_extract(hit["text"], java_regex(PYTHON_FUNCTION), 1), hit, length
+    return F.reverse(backwards)
+
+
+def python_functions(content: Column, longer_than: int = -1) -> Column:
+    """array<function>: lines after a `def` up to the next filled line at column 0, blanks left out.
+    Definitions are located only in files that hold one longer than ``longer_than``."""
+
+    def located(lengths: Column) -> Column:
+        return F.zip_with(
+            scan(content, java_regex(PYTHON_FUNCTION)),
+            lengths,
+            lambda hit, length: _function(
+                F.regexp_extract(hit["text"], java_regex(PYTHON_FUNCTION), 1), hit, length
+            ),
+        )
+
+    return let(
+        _python_lengths(content),
+        lambda lengths: F.when(F.exists(lengths, lambda n: n > longer_than), located(lengths)).otherwise(
+            F.expr(_EMPTY_FUNCTIONS)
         ),
     )
 
@@ -346,32 +361,24 @@ def _opened_before(parts: Column) -> Column:
 
 
 def _js_hits(content: Column) -> Column:
-    """array<struct<at,opened,name>> of the declarations of all four shapes."""
+    """array<struct<at,opened,regex>> of the declarations of all four shapes."""
 
-    def split(pattern: str, literal: str) -> Column:
+    def split(pattern: str, part: str) -> Column:
         regex = java_regex(pattern)
-        parts = F.struct(
-            split_by(content, regex).alias("parts"),
-            F.regexp_extract_all(content, F.lit(regex), F.lit(1)).alias("names"),
-        )
-        return F.when(content.contains(literal), parts)
+        parts = F.struct(split_by(content, regex).alias("parts"), F.lit(regex).alias("regex"))
+        return F.when(content.rlike(java_regex(part)), parts)
 
     def report(m: Column) -> Column:
-        located = F.zip_with(
+        return F.zip_with(
             locate(m["parts"]),
             _opened_before(m["parts"]),
-            lambda at, opened: F.struct(at.alias("at"), opened.alias("opened")),
-        )
-        return F.zip_with(
-            located,
-            m["names"],
-            lambda hit, name: F.struct(
-                hit["at"].alias("at"), hit["opened"].alias("opened"), name.alias("name")
+            lambda at, opened: F.struct(
+                at.alias("at"), opened.alias("opened"), m["regex"].alias("regex")
             ),
         )
 
-    shapes = F.array(*[split(pattern, literal) for pattern, literal in JS_FUNCTIONS])
-    present = F.filter(shapes, lambda m: m.isNotNull() & (F.size(m["names"]) > 0))
+    shapes = F.array(*[split(pattern, part) for pattern, part in JS_FUNCTIONS])
+    present = F.filter(shapes, lambda m: m.isNotNull() & (F.size(m["parts"]["hits"]) > 0))
     return F.flatten(F.transform(present, report))
 
 
@@ -379,33 +386,43 @@ def _braces_of_last_line(text: Column) -> Column:
     return F.regexp_replace(F.substring_index(text, "\n", -1), r"[^{}]++", "")
 
 
-def js_functions(content: Column) -> Column:
+def js_functions(content: Column, longer_than: int = -1) -> Column:
     """array<function>: lines after a declaration until its braces balance, or to the end.
 
-    The declaration's own line counts only the braces it opens from the declaration on.
+    The declaration's own line counts only the braces it opens from the declaration on. Functions
+    that are not longer than ``longer_than`` are left out before they are named.
     """
+
     def measured(table: Column, hit: Column) -> Column:
         line = hit["at"]["line"]
         ahead = F.get(table["opens"], line - 1) - hit["opened"]
         target = F.get(table["depth"], line - 1) - ahead
-        return _function(hit["name"], hit["at"], _lines_to_balance(table, line, target))
+        return F.struct(hit.alias("hit"), _lines_to_balance(table, line, target).alias("length"))
+
+    def named(found: Column) -> Column:
+        at = found["hit"]["at"]
+        name = F.call_function("regexp_extract", at["text"], found["hit"]["regex"], F.lit(1))
+        return _function(name, at, found["length"])
+
+    def lengths(hits: Column) -> Column:
+        return let(
+            _brace_table(content), lambda table: F.transform(hits, lambda hit: measured(table, hit))
+        )
 
     return let(
         _js_hits(content),
         lambda hits: F.when(F.size(hits) == 0, F.expr(_EMPTY_FUNCTIONS)).otherwise(
-            let(
-                _brace_table(content),
-                lambda table: F.transform(hits, lambda hit: measured(table, hit)),
-            )
+            F.transform(F.filter(lengths(hits), lambda found: found["length"] > longer_than), named)
         ),
     )
 
 
-def functions_of(content: Column, family: Column) -> Column:
-    """array<function> of the declarations whose length is measured; empty for other families."""
+def functions_of(content: Column, family: Column, longer_than: int = -1) -> Column:
+    """array<function> of the declarations whose length is measured; empty for other families. Those
+    not longer than ``longer_than`` may be left out."""
     return (
-        F.when((family == "python") & content.contains("def"), python_functions(content))
-        .when(family == "js", js_functions(content))
+        F.when((family == "python") & content.contains("def"), python_functions(content, longer_than))
+        .when(family == "js", js_functions(content, longer_than))
         .otherwise(F.expr(_EMPTY_FUNCTIONS))
     )
 
@@ -427,7 +444,11 @@ def function_length_findings(content: Column, family: Column) -> Column:
     return F.when(
         newlines(content) > SHORTEST_LONG_FUNCTION,
         F.transform(
-            F.filter(functions_of(content, family), lambda fn: fn["length"] > SHORTEST_LONG_FUNCTION), report
+            F.filter(
+                functions_of(content, family, SHORTEST_LONG_FUNCTION),
+                lambda fn: fn["length"] > SHORTEST_LONG_FUNCTION,
+            ),
+            report,
         ),
     ).otherwise(F.expr(EMPTY_FINDINGS))
 

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codeloom.functions.regex import INLINE_SPACE_RANGES, java_regex
+from codeloom.functions.regex import INLINE_SPACE_RANGES, SPACE_RANGES
 from codeloom.functions.text import (
-    all_matches, count_matches, let, lines_of, lstrip, occurrences, rstrip,
+    all_matches, count_matches, let, lstrip, occurrences, rstrip,
 )
 from codeloom.operators.lines import (
     DOUBLE_QUOTED, HASH, SINGLE_QUOTED, SLASHES, TEMPLATE, TRIPLE_QUOTED,
 )
 
 _LINE = rf"(?m)^[{INLINE_SPACE_RANGES}]*+"
-PY_CLASS = r"class\s+\w+"
-PY_DEF = r"(?:async\s+)?def\s+\w+"
+PY_CLASS = r"class\s+\w"
+PY_DEF = r"(?:async\s+)?def\s+\w"
 PY_IMPORT = _LINE + r"(import\s[^\n;]+|from\s[^\n;]*?\simport\b[^\n;]*)"
-JS_CLASS = r"(?<![\w$.])class\s+[A-Za-z_$]"
-JS_FUNCTION = r"(?<![\w$.])function\b\s*\*?\s*[\w$]*\s*[(<]"
+# The keyword first, so that the look-behind is only tried behind it.
+JS_CLASS = r"class(?<![\w$.]class)\s+[A-Za-z_$]"
+JS_FUNCTION = r"function(?<![\w$.]function)\b\s*\*?\s*[\w$]*\s*[(<]"
 JS_METHOD = (
     _LINE
     + r"(?:(?:public|private|protected|static|async|override|abstract|get|set)\s+)*+\*?"
@@ -68,19 +69,14 @@ def no_structure() -> Column:
 def python_structure(code: Column) -> Column:
     """``code`` is ``python_code``. A function is a method when a class with a smaller indent is
     still open; the outermost open class decides, so its indent is all the state there is."""
-    stripped = F.filter(
-        F.transform(
-            lines_of(code),
-            lambda line: F.struct(F.length(line).alias("width"), lstrip(line).alias("text")),
-        ),
-        lambda line: line["text"] != "",
-    )
+    # Of every filled line: its indent and either its first character or the start of a declaration.
+    heads = all_matches(code, rf"{_LINE}(?:{PY_CLASS}|{PY_DEF}|[^{SPACE_RANGES}])")
     lines = F.transform(
-        stripped,
+        F.transform(heads, lambda head: F.struct(head.alias("head"), lstrip(head).alias("text"))),
         lambda line: F.struct(
-            (line["width"] - F.length(line["text"])).alias("indent"),
-            line["text"].rlike(java_regex("^" + PY_CLASS)).alias("opens"),
-            line["text"].rlike(java_regex("^" + PY_DEF)).alias("defines"),
+            (F.length(line["head"]) - F.length(line["text"])).alias("indent"),
+            (line["text"].startswith("c") & (F.length(line["text"]) > 1)).alias("opens"),
+            (~line["text"].startswith("c") & (F.length(line["text"]) > 1)).alias("defines"),
         ),
     )
     zero = F.struct(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.constants.levels import MAX_ANALYZED_BYTES
 from codeloom.constants.rules import Rule
-from codeloom.functions.text import iterated_lines, split_lines, words
+from codeloom.functions.text import identifiers, iterated_lines, split_lines
 from codeloom.operators import complexity as cx
 from codeloom.operators import findings as fd
 from codeloom.operators import scores as sc
@@ -113,7 +113,7 @@ def with_complexity(files: DataFrame) -> DataFrame:
     declared = definition["interfaces"] + definition["types"] + definition["functions"]
     # An empty file of a parsed language keeps the parser's base complexity of 1.
     empty_base = F.when((F.col("status") == "empty") & family.isin("python", "js"), 1).otherwise(0)
-    counted = files.withColumn("tokens", words(text)).withColumns(
+    counted = files.withColumn("tokens", identifiers(text)).withColumns(
         {
             "cyclomatic": F.when(definition.isNotNull(), declared)
             .when(analyzed, cx.cyclomatic(text, family, F.col("tokens")))

@@ -11,7 +11,7 @@ from codeloom.constants.exclusions import EXCLUDED_DIRS, EXCLUDED_FILES, TEST_DI
 from codeloom.constants.languages import LANGUAGES
 from codeloom.constants.rules import STRICT_RULES
 from codeloom.functions.regex import glob_regex
-from codeloom.functions.text import clean, words
+from codeloom.functions.text import clean, identifiers
 from codeloom.operators import complexity as cx
 from codeloom.operators import discovery as ds
 from codeloom.operators import duplicates as dp
@@ -349,7 +349,7 @@ def dependencies_top15(spark, sf_dir):
 
 @registered("SELECT project, path, language, cyclomatic::BIGINT AS cyclomatic FROM lexical", "lexical")
 def cyclomatic(spark, sf_dir):
-    texts = _texts(spark, sf_dir).where(F.length("text") > 0).withColumn("tokens", words(F.col("text")))
+    texts = _texts(spark, sf_dir).where(F.length("text") > 0).withColumn("tokens", identifiers(F.col("text")))
     value = cx.cyclomatic(F.col("text"), F.col("family"), F.col("tokens"))
     return texts.select("project", "path", "language", value.cast("long").alias("cyclomatic"))
 
@@ -369,7 +369,7 @@ def cognitive(spark, sf_dir):
     "lexical",
 )
 def halstead_parts(spark, sf_dir):
-    texts = _texts(spark, sf_dir).where(F.length("text") > 0).withColumn("tokens", words(F.col("text")))
+    texts = _texts(spark, sf_dir).where(F.length("text") > 0).withColumn("tokens", identifiers(F.col("text")))
     parts = texts.select(
         "project", "path", cx.halstead_parts(F.col("text"), F.col("family"), F.col("tokens")).alias("p")
     )
