@@ -18,7 +18,11 @@ INLINE_SPACE_RANGES = SPACE_RANGES.replace(r"\t-\r", r"\t\x{b}-\r")
 WORD_RANGES = r"\p{L}\p{N}_"
 WORD = f"[{WORD_RANGES}]"
 
-_BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+# For look-behinds: the letter outside the basic plane, a letter anyway, makes Java step back by
+# code points instead of surrogate halves.
+WORD_BEHIND = f"[{WORD_RANGES}\U0001d400]"
+
+_BOUNDARY = f"(?:(?<={WORD_BEHIND})(?!{WORD})|(?<!{WORD_BEHIND})(?={WORD}))"
 _ESCAPES = {
     r"\w": WORD,
     r"\s": f"[{SPACE_RANGES}]",

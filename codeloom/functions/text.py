@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codeloom.functions.regex import SPACE_CHARS, SPACE_RANGES, WORD, java_regex
+from codeloom.functions.regex import SPACE_CHARS, SPACE_RANGES, WORD, WORD_BEHIND, java_regex
 
 
 def strip(text: Column) -> Column:
@@ -60,7 +60,7 @@ def filled_lines(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """All whole words that are ASCII identifiers; every keyword is one of them."""
-    return F.regexp_extract_all(text, F.lit(f"(?<!{WORD})[A-Za-z_][A-Za-z0-9_]*+(?!{WORD})"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?<!{WORD_BEHIND})[A-Za-z_][A-Za-z0-9_]*+(?!{WORD})"), F.lit(0))
 
 
 def count_matches(text: Column, pattern: str) -> Column:

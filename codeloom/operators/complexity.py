@@ -9,7 +9,7 @@ from codeloom.constants.levels import (
     BRANCH_WORDS, CHART_BANDS, COMPLEXITY_LEVELS, MAINTAINABILITY_LEVELS, OTHER_OPERATOR_WORDS,
     PYTHON_BRANCH_WORDS, PYTHON_NESTING_WORDS, PYTHON_OPERATOR_WORDS,
 )
-from codeloom.functions.regex import WORD
+from codeloom.functions.regex import WORD, WORD_BEHIND
 from codeloom.functions.text import (
     banded, contains_any, count_matches, count_where, let, lines_of, occurrences, strip,
 )
@@ -17,7 +17,7 @@ from codeloom.functions.text import (
 OPERATOR_RUN = r"[+\-*/=<>!&|^~%]+"
 ELSE_IF = r"\belse\s+if\b"
 # A digit first: the look-behind is then only tried where a digit stands.
-NUMBER = rf"\p{{Nd}}(?<!{WORD}\p{{Nd}})\p{{Nd}}*+(?:\.\p{{Nd}}+)?(?!{WORD})"
+NUMBER = rf"\p{{Nd}}(?<!{WORD_BEHIND}\p{{Nd}})\p{{Nd}}*+(?:\.\p{{Nd}}+)?(?!{WORD})"
 STRING_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"' + r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
 
 

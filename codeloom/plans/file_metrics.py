@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.constants.levels import MAX_ANALYZED_BYTES
 from codeloom.constants.rules import Rule
+from codeloom.functions.once import columns_once
 from codeloom.functions.text import identifiers, iterated_lines, split_lines
 from codeloom.operators import complexity as cx
 from codeloom.operators import findings as fd
@@ -35,12 +36,15 @@ SECURITY = ("security_counts", "n_security", "security_score", "security_level")
 SMELLS = ("smell_counts", "n_smells", "duplicated_lines", "technical_debt_ratio", "smell_severity")
 
 
-def with_text(files: DataFrame) -> DataFrame:
-    """Add status, text and definition counts to files with a language.
+def _with(files: DataFrame, groups: Sequence[dict[str, Column]]) -> DataFrame:
+    """Add groups of columns one after the other; a group may use the ones before it."""
+    for group in groups:
+        files = files.withColumns(group)
+    return files
 
-    ``text`` is what the rules see: empty for oversize, unreadable and definition files, which only
-    get counts.
-    """
+
+@columns_once
+def _text_columns() -> list[dict[str, Column]]:
     size = F.coalesce(F.col("size_bytes"), F.lit(0))
     status = (
         F.when((size > MAX_ANALYZED_BYTES) & ~F.col("is_definition"), "oversize")
@@ -48,19 +52,28 @@ def with_text(files: DataFrame) -> DataFrame:
         .when(F.length("content") == 0, "empty")
         .otherwise("ok")
     )
-    ok = F.col("status") == "ok"
-    return files.withColumns({"size_bytes": size, "status": status}).withColumns(
+    analyzed = (F.col("status") == "ok") & ~F.col("is_definition")
+    declared = F.col("is_definition") & F.col("content").isNotNull()
+    return [
+        {"size_bytes": size, "status": status},
         {
-            "text": F.when(ok & ~F.col("is_definition"), F.col("content")).otherwise(F.lit("")),
-            "definition": F.when(
-                F.col("is_definition") & F.col("content").isNotNull(), definition_counts(F.col("content"))
-            ),
-        }
-    )
+            "text": F.when(analyzed, F.col("content")).otherwise(F.lit("")),
+            "definition": F.when(declared, definition_counts(F.col("content"))),
+        },
+    ]
 
 
-def with_lines(files: DataFrame) -> DataFrame:
-    """Add loc, blanks, comments, sloc and comment_or_string_lines after ``with_text``."""
+def with_text(files: DataFrame) -> DataFrame:
+    """Add status, text and definition counts to files with a language.
+
+    ``text`` is what the rules see: empty for oversize, unreadable and definition files, which only
+    get counts.
+    """
+    return _with(files, _text_columns())
+
+
+@columns_once
+def _line_columns() -> list[dict[str, Column]]:
     text, family, definition = F.col("text"), F.col("family"), F.col("definition")
     oversize = F.col("status") == "oversize"
     whole = F.coalesce(iterated_lines(F.col("content")), F.floor(F.col("size_bytes") / 100).cast("int"))
@@ -68,52 +81,61 @@ def with_lines(files: DataFrame) -> DataFrame:
     def count(name: str, value: Column) -> Column:
         return F.when(definition.isNotNull(), definition[name]).otherwise(value).cast("long")
 
-    return (
-        files.withColumn("touched", touched_lines(text, F.col("language"), family))
-        .withColumns(
-            {
-                "loc": count("loc", F.when(oversize, whole).otherwise(split_lines(text))),
-                "blanks": count("blanks", blank_lines(text)),
-                "comments": count("comments", comment_lines(text, family, F.col("touched"))),
-            }
-        )
-        .withColumns(
-            {
-                "sloc": F.col("loc") - F.col("blanks") - F.col("comments"),
-                "comment_or_string_lines": comment_or_string_lines(
-                    family, F.col("touched"), F.col("comments")
-                ),
-            }
-        )
-        .drop("touched")
-    )
+    return [
+        {"touched": touched_lines(text, F.col("language"), family)},
+        {
+            "loc": count("loc", F.when(oversize, whole).otherwise(split_lines(text))),
+            "blanks": count("blanks", blank_lines(text)),
+            "comments": count("comments", comment_lines(text, family, F.col("touched"))),
+        },
+        {
+            "sloc": F.col("loc") - F.col("blanks") - F.col("comments"),
+            "comment_or_string_lines": comment_or_string_lines(
+                family, F.col("touched"), F.col("comments")
+            ),
+        },
+    ]
 
 
-def with_structure(files: DataFrame) -> DataFrame:
-    """Add classes, functions, methods, imports (and the struct they come from)."""
+def with_lines(files: DataFrame) -> DataFrame:
+    """Add loc, blanks, comments, sloc and comment_or_string_lines after ``with_text``."""
+    return _with(files, _line_columns()).drop("touched")
+
+
+@columns_once
+def _structure_columns() -> list[dict[str, Column]]:
     found, definition = F.col("structure"), F.col("definition")
-    return files.withColumn(
-        "structure", structure(F.col("text"), F.col("language"), F.col("family"))
-    ).withColumns(
+    functions = F.when(definition.isNotNull(), definition["functions"]).otherwise(found["functions"])
+    return [
+        {"structure": structure(F.col("text"), F.col("language"), F.col("family"))},
         {
             "classes": found["classes"].cast("long"),
-            "functions": F.when(definition.isNotNull(), definition["functions"])
-            .otherwise(found["functions"])
-            .cast("long"),
+            "functions": functions.cast("long"),
             "methods": found["methods"].cast("long"),
             "imports": found["imports"],
-        }
-    )
+        },
+    ]
 
 
-def with_complexity(files: DataFrame) -> DataFrame:
-    """Add the complexity columns after ``with_lines`` and ``with_structure``."""
+def with_structure(files: DataFrame) -> DataFrame:
+    """Add classes, functions, methods, imports (and the struct they come from)."""
+    return _with(files, _structure_columns())
+
+
+@columns_once
+def _complexity_columns() -> list[dict[str, Column]]:
     text, family, definition = F.col("text"), F.col("family"), F.col("definition")
     analyzed = F.length("text") > 0
     declared = definition["interfaces"] + definition["types"] + definition["functions"]
     # An empty file of a parsed language keeps the parser's base complexity of 1.
     empty_base = F.when((F.col("status") == "empty") & family.isin("python", "js"), 1).otherwise(0)
-    counted = files.withColumn("tokens", identifiers(text)).withColumns(
+    index = cx.maintainability_index(F.col("halstead"), F.col("cyclomatic"), F.col("sloc"))
+    score = cx.complexity_score(
+        F.col("cyclomatic"), F.col("cognitive"), F.col("maintainability_index"),
+        F.col("halstead"), F.col("sloc"), F.col("functions"), F.col("classes"),
+    )
+    return [
+        {"tokens": identifiers(text)},
         {
             "cyclomatic": F.when(definition.isNotNull(), declared)
             .when(analyzed, cx.cyclomatic(text, family, F.col("tokens")))
@@ -121,70 +143,77 @@ def with_complexity(files: DataFrame) -> DataFrame:
             .cast("long"),
             "cognitive": cx.cognitive(text, family).cast("long"),
             "halstead_parts": cx.halstead_parts(text, family, F.col("tokens")),
-        }
-    )
-    index = cx.maintainability_index(F.col("halstead"), F.col("cyclomatic"), F.col("sloc"))
-    score = cx.complexity_score(
-        F.col("cyclomatic"), F.col("cognitive"), F.col("maintainability_index"),
-        F.col("halstead"), F.col("sloc"), F.col("functions"), F.col("classes"),
-    )
-    return (
-        counted.withColumn("halstead", cx.halstead_volume(text, F.col("halstead_parts")))
-        .withColumn("maintainability_index", F.when(analyzed, index).otherwise(F.lit(0.0)))
-        .withColumn(
-            "complexity_score",
-            F.when(definition.isNotNull(), (declared + definition["interfaces"]).cast("double"))
+        },
+        {"halstead": cx.halstead_volume(text, F.col("halstead_parts"))},
+        {"maintainability_index": F.when(analyzed, index).otherwise(F.lit(0.0))},
+        {
+            "complexity_score": F.when(
+                definition.isNotNull(), (declared + definition["interfaces"]).cast("double")
+            )
             .when(analyzed, score)
-            .otherwise(empty_base.cast("double")),
-        )
-        .withColumns(
-            {
-                "maintainability_level": cx.maintainability_level(F.col("maintainability_index")),
-                "complexity_level": cx.complexity_level(F.col("complexity_score")),
-            }
-        )
-        .drop("tokens")
-    )
+            .otherwise(empty_base.cast("double"))
+        },
+        {
+            "maintainability_level": cx.maintainability_level(F.col("maintainability_index")),
+            "complexity_level": cx.complexity_level(F.col("complexity_score")),
+        },
+    ]
 
 
-def with_security(files: DataFrame) -> DataFrame:
-    """Add security_counts, n_security, security_score and security_level after ``with_text``."""
+def with_complexity(files: DataFrame) -> DataFrame:
+    """Add the complexity columns after ``with_lines`` and ``with_structure``."""
+    return _with(files, _complexity_columns()).drop("tokens")
+
+
+@columns_once
+def _security_columns() -> list[dict[str, Column]]:
     counts = F.col("security_counts")
-    return files.withColumn("security_counts", fd.security_counts("text", "family")).withColumns(
+    return [
+        {"security_counts": fd.security_counts("text", "family")},
         {
             "n_security": sc.total(counts).cast("long"),
             "security_score": sc.security_score(counts),
             "security_level": sc.security_level(counts),
-        }
-    )
+        },
+    ]
+
+
+def with_security(files: DataFrame) -> DataFrame:
+    """Add security_counts, n_security, security_score and security_level after ``with_text``."""
+    return _with(files, _security_columns())
+
+
+@columns_once
+def _smell_columns() -> list[dict[str, Column]]:
+    counts, chunks = F.col("smell_counts"), F.col("chunks")
+    return [
+        {"chunks": repeated_chunks(F.col("text"))},
+        {
+            "smell_counts": fd.smell_counts("text", "family", "comment_marker", "chunks"),
+            "duplicated_lines": duplicated_lines(chunks).cast("long"),
+        },
+        {
+            "n_smells": sc.total(counts).cast("long"),
+            "technical_debt_ratio": sc.technical_debt(counts, F.col("sloc")),
+            "smell_severity": sc.smell_severity(counts),
+        },
+    ]
 
 
 def with_smells(files: DataFrame) -> DataFrame:
     """Add smell_counts, n_smells, duplicated_lines, technical_debt_ratio and smell_severity after
     ``with_lines``."""
-    counts = F.col("smell_counts")
-    return (
-        files.withColumn("chunks", repeated_chunks(F.col("text")))
-        .withColumns(
-            {
-                "smell_counts": fd.smell_counts("text", "family", "comment_marker", "chunks"),
-                "duplicated_lines": duplicated_lines(F.col("chunks")).cast("long"),
-            }
-        )
-        .withColumns(
-            {
-                "n_smells": sc.total(counts).cast("long"),
-                "technical_debt_ratio": sc.technical_debt(counts, F.col("sloc")),
-                "smell_severity": sc.smell_severity(counts),
-            }
-        )
-        .drop("chunks")
-    )
+    return _with(files, _smell_columns()).drop("chunks")
+
+
+@columns_once
+def _pattern_columns() -> list[dict[str, Column]]:
+    return [{"pattern_counts": fd.pattern_counts("text", "family")}]
 
 
 def with_patterns(files: DataFrame) -> DataFrame:
     """Add pattern_counts after ``with_text``."""
-    return files.withColumn("pattern_counts", fd.pattern_counts("text", "family"))
+    return _with(files, _pattern_columns())
 
 
 def with_custom(files: DataFrame, provided: dict[str, Column] | None = None) -> DataFrame:
@@ -228,33 +257,40 @@ def file_metrics(files: DataFrame, provided: dict[str, Column] | None = None) ->
     )
 
 
+@columns_once
+def _security_items() -> Column:
+    return fd.security_findings("text", "family")
+
+
+@columns_once
+def _smell_items(extra_rules: tuple[Rule, ...]) -> Column:
+    return fd.smell_findings("text", "family", "comment_marker", extra_rules)
+
+
+@columns_once
+def _pattern_items() -> Column:
+    return fd.pattern_findings("text", "family")
+
+
 def security_issues(files: DataFrame) -> DataFrame:
     """One row per security finding, located."""
-    texts = with_text(files)
-    return texts.select(*KEY, F.inline(fd.security_findings("text", "family")))
+    return with_text(files).select(*KEY, F.inline(_security_items()))
 
 
 def code_smells(files: DataFrame, extra_rules: Sequence[Rule] = ()) -> DataFrame:
     """One row per code smell, located."""
-    texts = with_text(files)
-    items = fd.smell_findings("text", "family", "comment_marker", extra_rules)
-    return texts.select(*KEY, F.inline(items))
+    return with_text(files).select(*KEY, F.inline(_smell_items(tuple(extra_rules))))
 
 
 def findings(files: DataFrame, extra_smells: Sequence[Rule] = ()) -> DataFrame:
     """Security findings and code smells in one table, from one pass over the content."""
-    texts = with_text(files)
     kinds = F.array(
-        F.struct(F.lit("security").alias("kind"), fd.security_findings("text", "family").alias("items")),
-        F.struct(
-            F.lit("smell").alias("kind"),
-            fd.smell_findings("text", "family", "comment_marker", extra_smells).alias("items"),
-        ),
+        F.struct(F.lit("security").alias("kind"), _security_items().alias("items")),
+        F.struct(F.lit("smell").alias("kind"), _smell_items(tuple(extra_smells)).alias("items")),
     )
-    return texts.select(*KEY, F.inline(kinds)).select(*KEY, "kind", F.inline("items"))
+    return with_text(files).select(*KEY, F.inline(kinds)).select(*KEY, "kind", F.inline("items"))
 
 
 def pattern_hits(files: DataFrame) -> DataFrame:
     """One row per design-pattern hit, with its context."""
-    texts = with_text(files)
-    return texts.select(*KEY, F.inline(fd.pattern_findings("text", "family")))
+    return with_text(files).select(*KEY, F.inline(_pattern_items()))
