@@ -1 +1 @@
-
+"""Languages, exclusions, thresholds and rule packs."""

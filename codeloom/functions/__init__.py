@@ -1 +1 @@
-
+"""Column expressions over text and arrays."""

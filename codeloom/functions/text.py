@@ -53,14 +53,26 @@ def iterated_lines(text: Column) -> Column:
     return newlines(text) + F.when((F.length(text) > 0) & ~text.endswith("\n"), 1).otherwise(0)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def filled_lines(text: Column) -> Column:
-    """Number of lines with a character that is not white space, in one pass."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE_RANGES}][^\\n]*+"))
+    """Number of lines with a character that is not white space, in one pass. ASCII text takes plain
+    character classes, which Java looks up in a table."""
+    ascii_only = F.regexp_count(text, F.lit(r"[^\t-\r\x1c-\x20][^\n]*+"))
+    return F.when(is_ascii(text), ascii_only).otherwise(
+        F.regexp_count(text, F.lit(f"[^{SPACE_RANGES}][^\\n]*+"))
+    )
 
 
 def identifiers(text: Column) -> Column:
     """All whole words that are ASCII identifiers; every keyword is one of them."""
-    return F.regexp_extract_all(text, F.lit(f"(?<!{WORD_BEHIND})[A-Za-z_][A-Za-z0-9_]*+(?!{WORD})"), F.lit(0))
+    ascii_only = r"[A-Za-z_](?<![0-9A-Za-z_][A-Za-z_])[A-Za-z0-9_]*+"
+    general = f"(?<!{WORD_BEHIND})[A-Za-z_][A-Za-z0-9_]*+(?!{WORD})"
+    return F.when(is_ascii(text), F.regexp_extract_all(text, F.lit(ascii_only), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit(general), F.lit(0))
+    )
 
 
 def count_matches(text: Column, pattern: str) -> Column:

@@ -1 +1 @@
-
+"""Measures and findings of one file as column expressions."""

@@ -1 +1 @@
-
+"""DataFrame jobs: per-file tables, project rollups, rankings, comparison, reports."""

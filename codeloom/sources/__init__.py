@@ -1 +1 @@
-
+"""Loading of files tables."""

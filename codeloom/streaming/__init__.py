@@ -1 +1,2 @@
-
+"""Nothing of its own: the per-file functions of ``codeloom.plans.file_metrics`` hold no state, so they
+take a streaming files table as they are (see ``tests/test_projects.py``)."""
