@@ -13,7 +13,7 @@ PYTHON = [
     'db.execute("SELECT %s" % name)\ndb.execute(f"SELECT {name} FROM t")\ndb.execute("SELECT 1", args)',
     "data = pickle.loads(blob)\nobj = pickle.load(handle)\ncfg = yaml.load(stream)\n"
     "code = marshal.loads(raw)\nsafe = yaml.load(stream, Loader)",
-    "password = 'hunter@K@'\nAPI_KEY = \"k-@K@\"\nsecret = 'os.environ lookup'\nToken = \"@P@\"",
+    "password = 'hunter@K@'\nAPI_KEY = \"k-@K@\"\nsecret = 'os.environ lookup'\nToken = \"@P@\"\nclient_secret = 's-@K@'",
     "try:\n    load()\nexcept:\n    pass\nexcept ValueError:\n    raise\nfinally:\n    close()",
     "def collect(items=[], seen={}):\n    for item in items:\n        if item not in seen and item is not None:\n"
     "            seen[item] = @K@\n    return seen",
@@ -56,7 +56,7 @@ JAVASCRIPT = [
     "function createThing(a, b) {\n  if (a === b && a || b) {\n    return { a, b };\n  } else if (a > @K@) {\n    return a ? b : null;\n  }\n}",
     "eval(code@K@);\nretrieval();\neval();\ndocument.write('<b>' + name + '</b>');\ndocument.write();",
     "el.innerHTML = html + '@K@';\nel.innerHTML == html;\nel.textContent = html;",
-    "const password = 'p@K@';\nlet apiKey = \"k-@P@\";\nvar secret = 'process.env.X';\nconst token = `none`;\nAPI_KEY = 'a'",
+    "const password = 'p@K@';\nlet apiKey = \"k-@P@\";\nvar secret = 'process.env.X';\nconst token = `none`;\nAPI_KEY = 'a'\nlet clientSecret = \"s@K@\", authToken = 't@K@';",
     "console.log('a', @K@);\nconsole.error(e);\nconsole.table(t);\nmyconsole.info(1)",
     "alert('hi');\nif (confirm('sure?')) { prompt(\"n\"); }\nobj.alert(1);\nrealert(2);",
     "if (a == b) { x = 1; }\nif (a != b) { y=2 }\nif (a === b) { z += 3; }\nw = c <= d;",
