@@ -7,7 +7,6 @@ documents prose. No rows are gathered into a file, so no key can make one task l
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codeloom.constants.languages import extension_rows
 from codeloom.operators.discovery import with_language

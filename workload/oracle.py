@@ -4,8 +4,6 @@ text prefixes, blocks from window functions, folds with list_reduce."""
 from __future__ import annotations
 
 from codeloom.constants import rules as R
-from codeloom.constants.exclusions import EXCLUDED_DIRS, EXCLUDED_FILES, TEST_DIRS
-from codeloom.constants.languages import LANGUAGES
 from codeloom.constants.levels import (
     CODE_INDICATORS, OTHER_OPERATOR_WORDS, PYTHON_NESTING_WORDS, PYTHON_OPERATOR_WORDS,
 )
