@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing
+from codeloom.llm import decision_list, mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the fixed base rules, and the verdict of the list learned from labels."""
+    docs = _documents(spark, sf_dir)
+    rules = decision_list.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return decision_list.judge(docs, rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_decision_list": op4_decision_list,
 }
 
 ORACLE: dict[str, str] = {

@@ -18,8 +18,8 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 _LONG_WORD = 256
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
@@ -75,7 +75,7 @@ def _bounds(own: np.ndarray, at: np.ndarray, lower: bool) -> tuple:
     size = len(own)
     data = np.zeros(size + 8, np.uint8)
     data[:size] = _LOWER[own] if lower else own
-    space = _SPACE[own]
+    space = SPACE[own]
     cut = np.zeros(size + 1, bool)  # a document begins here
     cut[at] = True
     before, after = np.ones(size, bool), np.ones(size, bool)
