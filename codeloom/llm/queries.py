@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decision_list, mixing
+from codeloom.llm import bpe, decision_list, mixing
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +28,15 @@ def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs, rules)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes decoded from them."""
+    return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_decision_list": op4_decision_list,
+    "op6_byte_bpe": op6_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {

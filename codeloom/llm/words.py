@@ -24,6 +24,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+STEP = _A
 
 
 class Slice(NamedTuple):
