@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, decision_list, mixing
+from codeloom.llm import bpe, decision_list, mixing, secrets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -28,6 +28,11 @@ def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs, rules)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the fixed forms and incompressible strings in a sensitive context."""
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes decoded from them."""
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
@@ -36,6 +41,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_decision_list": op4_decision_list,
+    "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
 }
 

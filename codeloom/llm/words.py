@@ -54,8 +54,8 @@ def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _A + mix(right + _C))
 
 
-def slices(column: pa.Array, lower: bool = False) -> Iterator[Slice]:
-    """The words of every document; a null text has none."""
+def slices(column: pa.Array, lower: bool = False, words: bool = True) -> Iterator[Slice]:
+    """The words of every document; a null text has none. Without words, only the bytes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary()) if column.null_count == 0 else column.cast(pa.large_binary()).fill_null(b"")
     if not len(column):
@@ -68,7 +68,8 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Slice]:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
         own = data[offsets[first] : offsets[last]]
         at = offsets[first : last + 1] - offsets[first]
-        yield Slice(first, last, *_bounds(own, at, lower))
+        none = np.zeros(0, np.int64)
+        yield Slice(first, last, *(_bounds(own, at, lower) if words else (own, at, none, none, none)))
         first = last
 
 
