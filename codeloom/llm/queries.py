@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decision_list, mixing, secrets
+from codeloom.llm import bpe, byte_cnn, decision_list, mixing, secrets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,11 +39,25 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document by a network learned from the labels outside the held-out fold."""
+    docs = _documents(spark, sf_dir)
+    model = byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = byte_cnn.scored(docs, model)
+    return out.select(
+        "doc_id",
+        byte_cnn.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= byte_cnn.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_decision_list": op4_decision_list,
     "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_byte_cnn": op7_byte_cnn,
 }
 
 ORACLE: dict[str, str] = {
