@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, byte_cnn, decision_list, mixing, secrets
+from codeloom.llm import bpe, byte_cnn, decision_list, minhash_dedup, mixing, secrets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +17,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.8 of their 2-word shingles."""
+    return minhash_dedup.dedup(_documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document for sources weighing 5, 2, 1, at one and a half times the corpus."""
     return mixing.mix(_documents(spark, sf_dir))
@@ -53,6 +58,7 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_decision_list": op4_decision_list,
     "op5_secret_scan": op5_secret_scan,
