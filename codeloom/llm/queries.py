@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, byte_cnn, decision_list, minhash_dedup, mixing, secrets
+from codeloom.llm import bpe, byte_cnn, decision_list, minhash_dedup, mixing, recompression, secrets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,6 +57,11 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document because a window of 20 words that covers them also starts earlier."""
+    return recompression.dedup(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_mix_sources": op3_mix_sources,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_byte_cnn": op7_byte_cnn,
+    "op9_recompression_dedup": op9_recompression_dedup,
 }
 
 ORACLE: dict[str, str] = {
