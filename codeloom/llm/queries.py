@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, byte_cnn, decision_list, minhash_dedup, mixing, recompression, secrets
+from codeloom.llm import bpe, byte_cnn, cross_polytope, decision_list, minhash_dedup, mixing, recompression, secrets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every embedding whose vec_id is divisible by 20, found by cross-polytope tables."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return cross_polytope.search(vectors, vectors.filter(F.col("vec_id") % cross_polytope.EVERY == 0))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document for sources weighing 5, 2, 1, at one and a half times the corpus."""
     return mixing.mix(_documents(spark, sf_dir))
@@ -64,6 +70,7 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_cross_polytope": op2_cross_polytope,
     "op3_mix_sources": op3_mix_sources,
     "op4_decision_list": op4_decision_list,
     "op5_secret_scan": op5_secret_scan,
