@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, byte_cnn, cross_polytope, decision_list, minhash_dedup, mixing, recompression, secrets
+from codeloom.llm import bpe, byte_cnn, cross_polytope, decision_list, licenses, minhash_dedup, mixing, recompression, secrets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -63,6 +63,11 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, by the licence sentences that it holds."""
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from every document because a window of 20 words that covers them also starts earlier."""
     return recompression.dedup(_documents(spark, sf_dir))
@@ -76,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_byte_cnn": op7_byte_cnn,
+    "op8_license_scan": op8_license_scan,
     "op9_recompression_dedup": op9_recompression_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_license_scan": licenses.scan_sql(),
     "op3_mix_sources": r"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
