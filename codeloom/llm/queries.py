@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, byte_cnn, cross_polytope, decision_list, licenses, minhash_dedup, mixing, recompression, secrets
+from codeloom.llm import (
+    bpe,
+    byte_cnn,
+    cross_polytope,
+    decision_list,
+    licenses,
+    minhash_dedup,
+    mixing,
+    pseudo_likelihood,
+    recompression,
+    secrets,
+)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -73,6 +84,12 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.dedup(_documents(spark, sf_dir))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of every document by a masked model of all documents."""
+    docs = _documents(spark, sf_dir)
+    return pseudo_likelihood.scored(docs, *pseudo_likelihood.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_cross_polytope": op2_cross_polytope,
@@ -83,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_cnn": op7_byte_cnn,
     "op8_license_scan": op8_license_scan,
     "op9_recompression_dedup": op9_recompression_dedup,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
 ORACLE: dict[str, str] = {
