@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.llm import words as W
 from codeloom.llm.arrow import mapped
@@ -265,27 +266,32 @@ def tokens(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, np.n
             yield row, ids[cut[k] : cut[k + 1]]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int, in order) and n_tokens of every row of docs (doc_id, text), a null text as empty.
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep of every row of docs, ids (array of int, in order), n_tokens, and round_trip.
 
-    An empty text has no ids. Repeated rows are encoded alike; other columns are left out.
+    round_trip says that the bytes decoded from the ids are those of the text. A null text counts as an empty one,
+    which has no ids. Repeated rows are encoded alike; other columns are left out.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(Vocabulary.read(path))
+    held = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    kept = [F.col(name) for name in keep]
+    table = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("encoded_text"))
 
     def work(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(len(keep))
         parts: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-        for row, ids in tokens(batch.column("text"), held.value):
+        for row, ids in tokens(texts, held.value):
             parts[row].append(ids)
-        joined = [np.concatenate(p).astype(np.int32) for p in parts]
+        joined = [np.concatenate(p) for p in parts]
         offsets = np.concatenate([[0], np.cumsum([len(j) for j in joined])]).astype(np.int32)
-        return {
-            "doc_id": batch.column("doc_id"),
-            "ids": pa.ListArray.from_arrays(offsets, np.concatenate(joined)),
+        same = [held.value.decode(j) == t.as_buffer().to_pybytes() for j, t in zip(joined, texts, strict=True)]
+        return {name: batch.column(k) for k, name in enumerate(keep)} | {
+            "ids": pa.ListArray.from_arrays(offsets, np.concatenate(joined).view(np.int32)),
             "n_tokens": [len(j) for j in joined],
+            "round_trip": same,
         }
 
-    return mapped(_texts(docs), work, "doc_id long, ids array<int>, n_tokens long")
+    kinds = T.StructType(docs.select(*kept).schema.fields).add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
+    return mapped(table, work, kinds)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -30,7 +30,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.8 of their 2-word shingles."""
-    return minhash_dedup.dedup(_documents(spark, sf_dir))
+    return minhash_dedup.dedup(_documents(spark, sf_dir), size=2)
 
 
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
