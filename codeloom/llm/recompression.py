@@ -273,7 +273,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     own = ["id", "text_key"]
     posts = settled(mapped(keyed.select("id", "text_key", "text"), _post, "name long, id long, text_key long, low int, size byte"))
-    shared = posts.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+    # settled: read again, it is dealt out for the join, and a name that much of the corpus posts can be split there
+    shared = settled(posts.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"))
     spans = posts.join(shared, "name").select(*own, "low", "size").distinct()
     spans = settled(spans.groupBy(*own).agg(F.collect_list(F.struct("low", "size")).alias("spans")))
     touched = spans.select(*own)

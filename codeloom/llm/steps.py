@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,16 +67,29 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        step = settled(
-            small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        )
-        now = step.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        step = small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        seen = Observation()
+        step = settled(step.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("all")))
         forget(edges)
         edges = step
-        if now == before:
+        if seen.get == before or not seen.get["n"]:
             break
-        before = now
+        before = seen.get
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (node, component), settled, with more links (a, b) between nodes, whether they are in it already or not."""
+    if links.isEmpty():
+        return members
+    named = [members.select(F.col("node").alias(x), F.col("component").alias(f"{x}_of")) for x in ("a", "b")]
+    both = links.join(named[0], "a", "left").join(named[1], "b", "left")
+    merged = components(both.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")))
+    fresh = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    fresh = fresh.join(members, "node", "left_anti").withColumn("component", F.col("node"))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    out = members.unionByName(fresh).join(merged, "component", "left")
+    return settled(out.select("node", F.coalesce("least", "component").alias("component")))
