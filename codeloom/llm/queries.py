@@ -104,6 +104,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_minhash_dedup": r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS ws FROM documents
+), placed AS (
+    SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 1, 1))) AS i FROM worded WHERE len(ws) > 0
+), shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(ws) > 1 THEN ws[i] || ' ' || ws[i + 1] ELSE ws[1] END AS s FROM placed
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+), least AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""",
+    "op9_recompression_dedup": r"""
+WITH words AS (
+    SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+), windows AS (
+    SELECT *, CASE WHEN count(*) OVER w = 20 THEN array_to_string(list(word) OVER w, ' ') END AS held
+    FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), judged AS (
+    SELECT *, held IS NOT NULL AND row_number() OVER (PARTITION BY held ORDER BY doc_id, i) > 1 AS again FROM windows
+), covered AS (
+    SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+    FROM judged
+), totals AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+    FROM covered GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN totals USING (doc_id)
+""",
     "op8_license_scan": licenses.scan_sql(),
     "op3_mix_sources": r"""
 WITH sized AS (
