@@ -1,10 +1,5 @@
 """Thresholds, weights and bands of the scores."""
 
-# A file above this many bytes only gets a line count.
-MAX_ANALYZED_BYTES = 20 * 1024 * 1024
-# A definition file above this many lines is estimated.
-DEFINITION_LINES = 5000
-
 # Fixed values: (level, upper bound of the complexity score), the last one is open.
 COMPLEXITY_LEVELS = (
     ("trivial", 50),

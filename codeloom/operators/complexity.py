@@ -149,12 +149,10 @@ def halstead_parts(content: Column, family: Column, tokens: Column) -> Column:
     )
 
 
-def halstead_volume(content: Column, parts: Column) -> Column:
+def halstead_volume(parts: Column) -> Column:
     length = parts["operators"] + parts["operands"]
     vocabulary = parts["distinct_operators"] + parts["distinct_operands"]
-    measurable = (
-        (F.length(content) >= 10) & (parts["distinct_operators"] > 0) & (parts["distinct_operands"] > 0)
-    )
+    measurable = (parts["distinct_operators"] > 0) & (parts["distinct_operands"] > 0)
     return F.when(measurable, length * F.log2(vocabulary.cast("double"))).otherwise(F.lit(0.0))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codeloom.constants.levels import DEFINITION_LINES
 from codeloom.functions.scan import split_by
 from codeloom.functions.text import (
     contains_any, count_where, filled_lines, iterated_lines, let, lines_of, newlines, split_lines, strip,
@@ -118,14 +117,8 @@ def blank_lines(content: Column) -> Column:
 
 
 def definition_counts(content: Column) -> Column:
-    """Line and declaration counts of a definition file, exact up to a size and estimated above it."""
-    total = iterated_lines(content)
-    return let(
-        total,
-        lambda n: F.when(n > DEFINITION_LINES, _estimated_definition(n)).otherwise(
-            _exact_definition(content, n)
-        ),
-    )
+    """Line and declaration counts of a definition file."""
+    return let(iterated_lines(content), lambda n: _definition_fold(content, n))
 
 
 def _definition(loc, blanks, comments, interfaces, types, functions) -> Column:
@@ -139,14 +132,7 @@ def _definition(loc, blanks, comments, interfaces, types, functions) -> Column:
     )
 
 
-def _estimated_definition(n: Column) -> Column:
-    return _definition(
-        n, F.floor(n * F.lit(0.1)), F.floor(n * F.lit(0.4)),
-        F.floor(n / 100), F.floor(n / 150), F.floor(n / 200),
-    )
-
-
-def _exact_definition(content: Column, n: Column) -> Column:
+def _definition_fold(content: Column, n: Column) -> Column:
     stripped = F.filter(F.transform(lines_of(content), strip), lambda line: line != "")
     zero = F.struct(
         F.lit(False).alias("open"),

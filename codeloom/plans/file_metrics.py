@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.constants.levels import MAX_ANALYZED_BYTES
 from codeloom.constants.rules import Rule
 from codeloom.functions.once import columns_once
-from codeloom.functions.text import identifiers, iterated_lines, split_lines
+from codeloom.functions.text import identifiers, split_lines
 from codeloom.operators import complexity as cx
 from codeloom.operators import findings as fd
 from codeloom.operators import scores as sc
@@ -47,8 +46,7 @@ def _with(files: DataFrame, groups: Sequence[dict[str, Column]]) -> DataFrame:
 def _text_columns() -> list[dict[str, Column]]:
     size = F.coalesce(F.col("size_bytes"), F.lit(0))
     status = (
-        F.when((size > MAX_ANALYZED_BYTES) & ~F.col("is_definition"), "oversize")
-        .when(F.col("content").isNull(), "unreadable")
+        F.when(F.col("content").isNull(), "unreadable")
         .when(F.length("content") == 0, "empty")
         .otherwise("ok")
     )
@@ -66,8 +64,8 @@ def _text_columns() -> list[dict[str, Column]]:
 def with_text(files: DataFrame) -> DataFrame:
     """Add status, text and definition counts to files with a language.
 
-    ``text`` is what the rules see: empty for oversize, unreadable and definition files, which only
-    get counts.
+    ``text`` is what the rules see: empty for unreadable and definition files, which only get counts;
+    an unreadable file counts 0 of everything.
     """
     return _with(files, _text_columns())
 
@@ -75,8 +73,6 @@ def with_text(files: DataFrame) -> DataFrame:
 @columns_once
 def _line_columns() -> list[dict[str, Column]]:
     text, family, definition = F.col("text"), F.col("family"), F.col("definition")
-    oversize = F.col("status") == "oversize"
-    whole = F.coalesce(iterated_lines(F.col("content")), F.floor(F.col("size_bytes") / 100).cast("int"))
 
     def count(name: str, value: Column) -> Column:
         return F.when(definition.isNotNull(), definition[name]).otherwise(value).cast("long")
@@ -84,7 +80,7 @@ def _line_columns() -> list[dict[str, Column]]:
     return [
         {"touched": touched_lines(text, F.col("language"), family)},
         {
-            "loc": count("loc", F.when(oversize, whole).otherwise(split_lines(text))),
+            "loc": count("loc", split_lines(text)),
             "blanks": count("blanks", blank_lines(text)),
             "comments": count("comments", comment_lines(text, family, F.col("touched"))),
         },
@@ -144,7 +140,7 @@ def _complexity_columns() -> list[dict[str, Column]]:
             "cognitive": cx.cognitive(text, family).cast("long"),
             "halstead_parts": cx.halstead_parts(text, family, F.col("tokens")),
         },
-        {"halstead": cx.halstead_volume(text, F.col("halstead_parts"))},
+        {"halstead": cx.halstead_volume(F.col("halstead_parts"))},
         {"maintainability_index": F.when(analyzed, index).otherwise(F.lit(0.0))},
         {
             "complexity_score": F.when(

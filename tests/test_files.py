@@ -61,15 +61,16 @@ def test_special_files(typed_of, spark):
     assert rows["a.java"].cyclomatic == 1 and rows["a.java"].cognitive == 0 and rows["a.java"].halstead > 0
 
 
-def test_oversize_files_get_a_line_count(typed_of):
+def test_files_of_any_size_are_analysed(typed_of):
     files = typed_of({"big.py": "eval(x)\n# c\n", "lost.py": None}).withColumn("size_bytes", F.lit(21 * 1024 * 1024))
     rows = {r.path: r for r in fm.file_metrics(files).collect()}
     big = rows["big.py"]
-    assert (big.status, big.loc, big.sloc, big.comments, big.n_security, big.cyclomatic) == ("oversize", 2, 2, 0, 0, 0)
-    assert rows["lost.py"].loc == 21 * 1024 * 1024 // 100
+    assert (big.status, big.loc, big.sloc, big.comments, big.n_security, big.cyclomatic) == ("ok", 3, 1, 1, 1, 1)
+    lost = rows["lost.py"]
+    assert (lost.status, lost.n_security, lost.complexity_score) == ("unreadable", 0, 0.0) and lost.loc <= 1
 
 
-@pytest.mark.parametrize("n,expected", [(5000, (5000, 0, 0, 5000)), (5001, (5001, 500, 2000, 50))])
+@pytest.mark.parametrize("n,expected", [(5000, (5000, 0, 0, 5000)), (5001, (5001, 0, 0, 5001)), (20001, (20001, 0, 0, 20001))])
 def test_large_definition_files(typed_of, n, expected):
     row = measured(typed_of, {"x.d.ts": "interface A\n" * n})["x.d.ts"]
     assert (row.loc, row.blanks, row.comments, int(row.custom["typescript.interfaces"])) == expected

@@ -147,18 +147,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rule evaluation is bound by the CPU, so a scan of fewer splits than cores is spread out first.
-    A table of many files already has its tasks and is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores * 2)
+#: How many partitions the rows of a table are dealt to before rules run over them; unset, they stay as they are scanned.
+#: For a table in one row group on many cores, such as the test tables; a table of size has its tasks from the scan.
+PARTITIONS = "codeloom.workload.partitions"
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    number = int(rows.sparkSession.conf.get(PARTITIONS, "0"))
+    return rows.repartition(number) if number else rows
 
 
 def files(spark: SparkSession, sf_dir: str, parts=("orders", "supplier", "documents")) -> DataFrame:
     """The whole files table."""
     out = None
     for name in parts:
-        rows = spread(_source_columns(read(spark, sf_dir, name), name))
+        rows = dealt(_source_columns(read(spark, sf_dir, name), name))
         for layer in PARTS[name](Spark):
             rows = rows.selectExpr(*[f"{value} AS {alias}" for alias, value in layer.items()])
         out = rows if out is None else out.unionByName(rows)

@@ -171,11 +171,11 @@ FROM (SELECT project, path, language, {JS_CODE} AS code, {JS_STATEMENTS} AS stat
 
 _definitions = f"""
 SELECT project, path, n AS loc,
-  CASE WHEN n > 5000 THEN floor(n * 0.1::DOUBLE) ELSE blank_n END::BIGINT AS blanks,
-  CASE WHEN n > 5000 THEN floor(n * 0.4::DOUBLE) ELSE s.comments END::BIGINT AS comments,
-  CASE WHEN n > 5000 THEN n // 100 ELSE s.interfaces END::BIGINT AS interfaces,
-  CASE WHEN n > 5000 THEN n // 150 ELSE s.types END::BIGINT AS types,
-  CASE WHEN n > 5000 THEN n // 200 ELSE s.functions END::BIGINT AS functions
+  blank_n::BIGINT AS blanks,
+  s.comments::BIGINT AS comments,
+  s.interfaces::BIGINT AS interfaces,
+  s.types::BIGINT AS types,
+  s.functions::BIGINT AS functions
 FROM (SELECT project, path, len(kept) AS n, len(list_filter(kept, lambda l: {_strip} = '')) AS blank_n,
   list_reduce([{{'t': {_strip}, 'inside': false, 'comments': 0, 'interfaces': 0, 'types': 0, 'functions': 0}} FOR l IN kept IF {_strip} <> ''],
     lambda a, x: {{'t': x.t,
@@ -374,7 +374,7 @@ FROM (SELECT c.project, c.path, c.language, c.family, c.is_definition, c.size_by
          WHEN c.text = '' THEN CASE WHEN c.family IN ('python', 'js') THEN 1 ELSE 0 END
          ELSE x.cyclomatic END::BIGINT AS cyclomatic,
     coalesce(g.cognitive, 0)::BIGINT AS cognitive,
-    CASE WHEN length(c.text) >= 10 AND len(x.operators) > 0 AND len(x.operands) > 0 THEN
+    CASE WHEN len(x.operators) > 0 AND len(x.operands) > 0 THEN
       (len(x.operators) + len(x.operands)) * log2((len(list_distinct(x.operators)) + len(list_distinct(x.operands)))::DOUBLE)
       ELSE 0.0::DOUBLE END AS halstead
   FROM line_counts c JOIN structure s ON c.project = s.project AND c.path = s.path
