@@ -45,7 +45,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
-        .config("codeloom.workload.partitions", str(2 * int(cpus)))
+        .config("spark.codeloom.workload.partitions", str(2 * int(cpus)))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

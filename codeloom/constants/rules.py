@@ -163,8 +163,8 @@ PY_OBSERVER = (
     (r"for\s+observer\s+in\s+self\.observers", "self.observers"),
 )
 PY_DECORATOR = (
-    (r"@\w+(?:\.\w+)*(?:\(.*?\))?\s+def\s+\w+\(", "@"),
-    (r"@\w+(?:\.\w+)*\s+class\s+\w+\(", "@"),
+    (r"@\w+(?:\.\w++)*+(?:\(.*?\))?\s+def\s+\w+\(", "@"),
+    (r"@\w+(?:\.\w++)*+\s+class\s+\w+\(", "@"),
     (r"def\s+\w+\(\s*self\s*,\s*wrapped\s*,", "wrapped"),
     (r"def\s+__init__\(\s*self\s*,\s*decorated\s*", "decorated"),
     (r"def\s+__init__\(\s*self\s*,\s*component\s*", "component"),

@@ -16,7 +16,8 @@ from codeloom.operators.lines import (
 _LINE = rf"(?m)^[{INLINE_SPACE_RANGES}]*+"
 PY_CLASS = r"class\s+\w"
 PY_DEF = r"(?:async\s+)?def\s+\w"
-PY_IMPORT = _LINE + r"(import\s[^\n;]+|from\s[^\n;]*?\simport\b[^\n;]*)"
+# An import starts a line or follows another statement on it, and ends with its statement.
+PY_IMPORT = rf"(?m)(?:^|(?<=[;:]))[{INLINE_SPACE_RANGES}]*+(import\s[^\n;]+|from\s[^\n;]*?\simport\b[^\n;]*)"
 # The keyword first, so that the look-behind is only tried behind it.
 JS_CLASS = r"class(?<![\w$.]class)\s+[A-Za-z_$]"
 JS_FUNCTION = r"function(?<![\w$.]function)\b\s*\*?\s*[\w$]*\s*[(<]"
@@ -24,9 +25,9 @@ JS_METHOD = (
     _LINE
     + r"(?:(?:public|private|protected|static|async|override|abstract|get|set)\s+)*+\*?"
     + r"(?!(?:if|for|while|switch|catch|function|return|with|do|else)\b)"
-    + r"[#\w$]+\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{}=;()]+)?\{"
+    + r"[#\w$]+\s*\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)\s*(?::[^{}=;()]+)?\{"
 )
-JS_IMPORT = _LINE + r"(import\b(?!\s*[(.])[^\n]*)"
+JS_IMPORT = rf"(?m)(?:^|(?<=;))[{INLINE_SPACE_RANGES}]*+(import\b(?!\s*[(.])[^\n;]*;?)"
 TS_INTERFACE = _LINE + r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s+\w+"
 TS_TYPE = _LINE + r"(?:export\s+)?(?:declare\s+)?type\s+\w+\s*(?:<[^=;]*>)?\s*="
 

@@ -18,17 +18,25 @@ COMPARED = (
 )
 
 
-def _unpivoted(summary: DataFrame, project: str, value: str) -> DataFrame:
+def _side_by_side(summary: DataFrame, left: str, right: str) -> DataFrame:
+    """metric_no, metric, decimal, left_value and right_value from one pass over the two projects."""
+    sides = {"left_value": left, "right_value": right}
+    values = [
+        F.max(F.when(F.col("project") == project, F.col(column).cast("double"))).alias(f"{side}_{i}")
+        for i, (_, column, _) in enumerate(COMPARED)
+        for side, project in sides.items()
+    ]
+    both = summary.where(F.col("project").isin(left, right)).agg(F.count("*").alias("found"), *values)
     rows = F.array(
         *[
             F.struct(
-                F.lit(i).alias("metric_no"), F.lit(label).alias("metric"),
-                F.lit(decimal).alias("decimal"), F.col(column).cast("double").alias(value),
+                F.lit(i).alias("metric_no"), F.lit(label).alias("metric"), F.lit(decimal).alias("decimal"),
+                *[F.col(f"{side}_{i}").alias(side) for side in sides],
             )
-            for i, (label, column, decimal) in enumerate(COMPARED)
+            for i, (label, _, decimal) in enumerate(COMPARED)
         ]
     )
-    return summary.where(F.col("project") == project).select(F.inline(rows))
+    return both.where("found > 0").select(F.inline(rows))
 
 
 def _shown(value: Column) -> Column:
@@ -45,10 +53,7 @@ def _shown_difference(value: Column) -> Column:
 
 def compare(summary: DataFrame, left: str, right: str) -> DataFrame:
     """Eight metrics of two projects with their difference; a missing project leaves nulls."""
-    keys = ["metric_no", "metric", "decimal"]
-    both = _unpivoted(summary, left, "left_value").join(
-        _unpivoted(summary, right, "right_value"), keys, "full_outer"
-    )
+    both = _side_by_side(summary, left, right)
     difference = F.col("right_value") - F.col("left_value")
     return both.select(
         "metric_no", "metric", "left_value", "right_value", difference.alias("difference"),

@@ -290,7 +290,7 @@ def project_scores(metrics: DataFrame) -> DataFrame:
 
 
 def summary_panel(summary: DataFrame) -> DataFrame:
-    """The eleven numbers of the summary panel, formatted."""
+    """The ten numbers of the summary panel, formatted."""
     counts = (
         "total_files", "total_loc", "total_sloc", "total_comments", "total_blanks",
         "total_classes", "total_functions", "total_methods",

@@ -179,3 +179,25 @@ def test_many_functions_raise_the_score(typed_of):
 
     assert math.isclose(rows["a.js"].complexity_score, plain(rows["a.js"]))
     assert math.isclose(rows["b.js"].complexity_score, plain(rows["b.js"]) * 1.2)
+
+
+def test_imports_with_several_statements_on_a_line(typed_of):
+    contents = {
+        "a.js": "import a from 'a'; import b from 'b';\nlet x = 1; import c from 'c'\n// import d from 'd'\n",
+        "a.py": "import os; import sys\nif x: import re\nfrom a import b; from c import (d, e)\n# import no\n",
+        "min.js": "import{a}from'a';import*as b from'b';var c=import('d');" + "f();" * 50,
+    }
+    rows = {r.path: r.imports for r in fm.with_structure(fm.with_lines(fm.with_text(typed_of(contents)))).collect()}
+    assert rows["a.js"] == ["import a from 'a';", "import b from 'b';", "import c from 'c'"]
+    assert rows["a.py"] == ["import os", "import sys", "import re", "from a import b", "from c import (d, e)"]
+    assert rows["min.js"] == ["import{a}from'a';", "import*as b from'b';"]
+
+
+def test_long_calls_and_decorators_do_not_overflow(typed_of):
+    contents = {
+        "call.js": "foo(" + "a()," * 20000 + ") {\n}\n",
+        "deco.py": "@a" + ".b" * 20000 + "\ndef f(x):\n    pass\n@a" + ".b" * 20000 + "\nclass C(D):\n    pass\n",
+    }
+    rows = {r.path: r for r in fm.file_metrics(typed_of(contents)).collect()}
+    assert rows["call.js"].functions == 1 and rows["deco.py"].classes == 1
+    assert {h.pattern for h in fm.pattern_hits(typed_of(contents)).collect()} == {"decorator"}

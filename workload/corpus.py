@@ -149,7 +149,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 #: How many partitions the rows of a table are dealt to before rules run over them; unset, they stay as they are scanned.
 #: For a table in one row group on many cores, such as the test tables; a table of size has its tasks from the scan.
-PARTITIONS = "codeloom.workload.partitions"
+PARTITIONS = "spark.codeloom.workload.partitions"
 
 
 def dealt(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ text prefixes, blocks from window functions, folds with list_reduce."""
 
 from __future__ import annotations
 
+import re
+
 from codeloom.constants import rules as R
 from codeloom.constants.levels import (
     CODE_INDICATORS, OTHER_OPERATOR_WORDS, PYTHON_NESTING_WORDS, PYTHON_OPERATOR_WORDS,
@@ -24,6 +26,7 @@ WS = text(SPACE_CHARS)
 
 def re2(pattern: str, ignore_case: bool = False) -> str:
     """A Python pattern as an SQL literal for RE2; the caller has taken look-arounds out."""
+    pattern = re.sub(r"(?<!\\)([*+?])\+", r"\1", pattern)  # possessive loops are an aid to Java only
     keep = pattern.replace(r"[\s\S]", "\0")
     keep = keep.replace(r"\w", WORD).replace(r"\s", SPACE).replace("\0", r"[\s\S]")
     return text(("(?i)" if ignore_case else "") + keep)
@@ -162,7 +165,7 @@ SELECT project, path, language,
   len(regexp_extract_all(code, {text(r'(^|[^0-9A-Za-z_$.])function' + r'\b' + SPACE + r'*\*?' + SPACE + r'*[0-9A-Za-z_$]*' + SPACE + r'*[(<]')}))
     + {count('code', '=>')}
     + len(list_filter(regexp_extract_all(code, {re2(JS_NAME)}, 1), lambda n: NOT list_contains({words(NOT_METHODS)}, n))) AS functions,
-  list_transform(list_filter(regexp_extract_all(statements, {re2(r'(?m)^' + INLINE + r'(import' + r'\b[^\n]*)')}, 1),
+  list_transform(list_filter(regexp_extract_all(replace(statements, ';', ';' || {NL}), {re2(r'(?m)^' + INLINE + r'(import' + r'\b[^\n]*)')}, 1),
     lambda l: NOT regexp_matches(l, {re2(r'^import\s*[(.]')})), lambda l: rtrim(l, {WS})) AS imports,
   CASE WHEN language IN ('typescript', 'tsx') THEN len(regexp_extract_all(code, {re2(r'(?m)^' + INLINE + r'(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s+\w+')})) ELSE 0 END AS interfaces,
   CASE WHEN language IN ('typescript', 'tsx') THEN len(regexp_extract_all(code, {re2(r'(?m)^' + INLINE + r'(?:export\s+)?(?:declare\s+)?type\s+\w+\s*(?:<[^=;]*>)?\s*=')})) ELSE 0 END AS types
@@ -348,7 +351,7 @@ SELECT t.project, t.path, t.language, t.family,
     WHEN 'rust' THEN {count('t.text', chr(10) + 'fn ')} ELSE 0 END END::BIGINT AS functions,
   CASE WHEN t.family = 'python' THEN p.s.methods ELSE 0 END::BIGINT AS methods,
   CASE t.family
-    WHEN 'python' THEN list_transform(regexp_extract_all(p.code, {re2(r'(?m)^' + INLINE + r'(import\s[^\n;]+|from\s[^\n;]*?\simport' + r'\b[^\n;]*)')}, 1), lambda l: rtrim(l, {WS}))
+    WHEN 'python' THEN list_transform(regexp_extract_all(translate(p.code, ';:', {NL} || {NL}), {re2(r'(?m)^' + INLINE + r'(import\s[^\n;]+|from\s[^\n;]*?\simport' + r'\b[^\n;]*)')}, 1), lambda l: rtrim(l, {WS}))
     WHEN 'js' THEN coalesce(j.imports, []) WHEN 'rust' THEN
       list_transform(range(1, {count('t.text', chr(10) + 'use ')} + 1), lambda i: 'use_statement_' || i) ELSE [] END AS imports,
   CASE WHEN t.language IN ('typescript', 'tsx') THEN coalesce(d.interfaces, j.interfaces, 0) END::BIGINT AS interfaces,

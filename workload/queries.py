@@ -99,17 +99,18 @@ _LISTING = ", ".join(
 
 
 @registered(
-    f"SELECT l.language, l.extensions, l.features, coalesce(n.files, 0)::BIGINT AS files FROM (VALUES {_LISTING}) "
-    "AS l(language, extensions, features) LEFT JOIN (SELECT upper(language[1]) || language[2:] AS language, "
-    "count(*) AS files FROM typed GROUP BY ALL) n ON l.language = n.language"
+    f"SELECT l.language, l.extensions, l.features, (SELECT count(*) FROM typed "
+    "WHERE list_contains(string_split(l.extensions, ', '), lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)))) AS files "
+    f"FROM (VALUES {_LISTING}) AS l(language, extensions, features)"
 )
 def supported_languages(spark, sf_dir):
-    used = corpus.typed_files(spark, sf_dir).groupBy(F.initcap("language").alias("language")).agg(
-        F.count("*").alias("files")
-    )
-    return ds.language_listing(spark).join(used, "language", "left").withColumn(
-        "files", F.coalesce("files", F.lit(0)).cast("long")
-    )
+    """Listed languages with the files that have one of their extensions, under whatever name they are analysed."""
+    suffix = F.lower(F.regexp_extract("path", r"[^/](\.[^./]+)$", 1))
+    used = corpus.typed_files(spark, sf_dir).groupBy(suffix.alias("extension")).agg(F.count("*").alias("n"))
+    listed = ds.language_listing(spark)
+    listed = listed.select("*", F.explode(F.split("extensions", ", ")).alias("extension"))
+    counted = listed.join(used, "extension", "left").groupBy("language", "extensions", "features")
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("files"))
 
 
 # Paths that meet every exclusion: directories and names by key.
@@ -503,6 +504,18 @@ def code_smells(spark, sf_dir):
     return _located(fm.code_smells(corpus.typed_files(spark, sf_dir)).select(*_SMELL_COLUMNS))
 
 
+@registered(
+    "SELECT project, path, language, 'security' AS kind, type, replace(template, '{line}', line::VARCHAR) AS message, "
+    "line::BIGINT AS line, col::BIGINT AS col, position, severity FROM security_hits UNION ALL "
+    "SELECT project, path, language, 'smell' AS kind, type, message, line::BIGINT AS line, col::BIGINT AS col, position, severity FROM smells",
+    "security_hits", "smells",
+)
+def findings(spark, sf_dir):
+    """Security findings and smells of every file in one table."""
+    found = fm.findings(corpus.typed_files(spark, sf_dir))
+    return _located(found.select("project", "path", "language", "kind", *_SMELL_COLUMNS[3:]))
+
+
 def _smell_query(build):
     """The findings of one smell operator over the whole corpus."""
 

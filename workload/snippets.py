@@ -5,6 +5,7 @@ rule has a fragment that fires it and one that just misses it.
 """
 
 PYTHON = [
+    "import zlib; import gzip as gz\nif @K@: import bz2\nx = 1; from lzma import open as lopen  # late",
     "import os\nimport sys, json\nfrom collections import OrderedDict",
     "from helpers import *\nimport module_@K@  # loaded late\nfrom pkg.sub import (\n    first,\n    second,\n)",
     "def run_@K@(cmd):\n    os.system(cmd + '@K@')\n    return os.system('ls')",
@@ -51,6 +52,7 @@ PYTHON = [
 ]
 
 JAVASCRIPT = [
+    "import one from 'one'; import two from 'two@K@';\nlet z = 1; import {three} from \"three\"",
     "import fs from 'fs';\nimport { join } from \"path\";\nconst lazy = import('later');",
     "import React from 'react'; // ui\n/* import never from 'x'; */\nimport * as all from './all@K@';",
     "function createThing(a, b) {\n  if (a === b && a || b) {\n    return { a, b };\n  } else if (a > @K@) {\n    return a ? b : null;\n  }\n}",
