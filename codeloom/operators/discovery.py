@@ -87,16 +87,6 @@ def excluded_for_language(path: Column, language: Column) -> Column:
     return hit
 
 
-def languages(spark: SparkSession, extra: Sequence[Extension] = (), strict_tsx: bool = False) -> DataFrame:
-    """The extension dimension. A local relation: Spark knows its size, so the join is a broadcast
-    exactly when it is small."""
-    rows = extension_rows(tuple(extra), strict_tsx)
-    values = ", ".join(f"('{r.extension}', '{r.language}', '{r.family}', '{r.comment_marker}')" for r in rows)
-    return spark.sql(
-        f"SELECT * FROM VALUES {values} AS languages(extension, language, family, comment_marker)"
-    )
-
-
 def language_listing(spark: SparkSession) -> DataFrame:
     """Supported languages as shown to the user."""
     quoted = [
@@ -114,13 +104,25 @@ def with_language(
     files: DataFrame, extra: Sequence[Extension] = (), strict_tsx: bool = False, keep_unknown: bool = False
 ) -> DataFrame:
     """Add language, family, comment_marker and is_definition; drop files of no known language."""
-    dimension = languages(files.sparkSession, extra, strict_tsx)
-    joined = files.withColumn("extension", suffix(F.col("path"))).join(
-        dimension, "extension", "left" if keep_unknown else "inner"
-    )
+    # A literal map: the lookup stays in the row, where a join could shuffle contents by some 25 keys.
+    entries = {r.extension: (r.language, r.family, r.comment_marker) for r in extension_rows(tuple(extra), strict_tsx)}
+    fields = ("language", "family", "comment_marker")
+    pairs = [
+        item
+        for extension, values in entries.items()
+        for item in (
+            F.lit(extension),
+            F.struct(*[F.lit(value).alias(name) for name, value in zip(fields, values, strict=True)]),
+        )
+    ]
+    found = F.try_element_at(F.create_map(*pairs), suffix(F.col("path")))
+    known = files.withColumn("_known", found)
+    if not keep_unknown:
+        known = known.where(F.col("_known").isNotNull())
+    known = known.withColumns({name: F.col("_known")[name] for name in fields}).drop("_known")
     if keep_unknown:
-        joined = joined.withColumn("language", F.coalesce("language", F.lit("unknown")))
-    return joined.drop("extension").withColumn("is_definition", is_definition(F.col("path")))
+        known = known.withColumn("language", F.coalesce("language", F.lit("unknown")))
+    return known.withColumn("is_definition", is_definition(F.col("path")))
 
 
 def discover(

@@ -295,19 +295,21 @@ WHERE first_line IS NOT NULL
 GROUP BY project, path, language, run, first_line
 HAVING n >= 3"""
 
-_chunks = f"""
+def _chunks_of(column: str) -> str:
+    return f"""
 SELECT project, path, language, i, chunk
 FROM (SELECT project, path, language, i, array_to_string(lines[i:i + 5], {NL}) AS chunk
       FROM (SELECT project, path, language, lines, unnest(range(1, len(lines) - 4)) AS i
-            FROM (SELECT project, path, language, string_split(text, {NL}) AS lines FROM typed WHERE text <> '')))
+            FROM (SELECT project, path, language, string_split({column}, {NL}) AS lines FROM typed WHERE {column} <> '')))
 WHERE length(trim(chunk, {WS})) >= 30"""
 
+
 _repeats = """
 SELECT project, path, any_value(language) AS language, list_sort(list(i))[1] AS first, list_sort(list(i))[2] AS second
 FROM chunks GROUP BY project, path, chunk HAVING count(*) >= 2"""
 
 _smells = f"""
-SELECT project, path, language, replace(rule_id, 'x', 'x') AS rule_id, type,
+SELECT project, path, language, rule_id, type,
   replace(template, '{{name}}', regexp_extract(hit, '^(alert|prompt|confirm)', 1)) AS message, line, col, position, severity
 FROM smell_hits
 UNION ALL
@@ -445,7 +447,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "functions": (("fn_hits", "line_rows", "balance"), _functions),
     "commented": (("line_rows",), _commented),
-    "chunks": ((), _chunks),
+    "chunks": ((), _chunks_of("text")),
+    "all_chunks": ((), _chunks_of("content")),
     "repeats": (("chunks",), _repeats),
     "smells": (("smell_hits", "functions", "commented", "repeats"), _smells),
     "metrics": (("complexity", "security_hits", "smells", "repeats"), _metrics),

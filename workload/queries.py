@@ -142,7 +142,7 @@ def _tree_files(spark, sf_dir):
 
 def _tree_sql(dirs, extra_condition="true"):
     exact = [g for g in EXCLUDED_FILES if "*" not in g]
-    globs = "^(?s:" + "|".join(glob_regex(g).replace("\\", "\\") for g in EXCLUDED_FILES if "*" in g) + ")$"
+    globs = "^(?s:" + "|".join(glob_regex(g) for g in EXCLUDED_FILES if "*" in g) + ")$"
     name = "string_split(path, '/')[-1]"
     return (
         f"SELECT t.project, t.path, t.file_no, l.language, ends_with(t.path, '.d.ts') AS is_definition FROM {_TREE} t "
@@ -634,11 +634,12 @@ def duplicated_ratio(spark, sf_dir):
 @registered(
     "SELECT first.project AS first_project, first.path AS first_path, first.line AS first_line, n_files, n_places FROM ("
     "SELECT min({'project': project, 'path': path, 'line': i}) AS first, count(DISTINCT (project, path)) AS n_files, "
-    "count(*) AS n_places FROM chunks GROUP BY chunk) WHERE n_files >= 2",
-    "chunks",
+    "count(*) AS n_places FROM all_chunks GROUP BY chunk) WHERE n_files >= 2",
+    "all_chunks",
 )
 def cross_file_duplicates(spark, sf_dir):
-    files = _texts(spark, sf_dir).select("project", "path", F.col("text").alias("content"))
+    """Over every file, definition files too: a copy is one whatever the file declares."""
+    files = corpus.typed_files(spark, sf_dir).select("project", "path", F.coalesce("content", F.lit("")).alias("content"))
     found = dp.cross_file_duplicates(files)
     return found.withColumn("first_line", F.col("first_line").cast("long"))
 
