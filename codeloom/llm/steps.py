@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,6 +29,18 @@ def settled(table: DataFrame) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def tidied(table: DataFrame) -> DataFrame:
+    """table, settled, and the shuffle files of what made it given back.
+
+    Spark removes a shuffle's files once the driver's garbage collector has found its plan unused, which a job of many
+    steps on a quiet driver would not see before its end.
+    """
+    out = settled(table)
+    gc.collect()
+    table.sparkSession._jvm.System.gc()
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove the files of settled tables that no later step reads."""
     for table in tables:
