@@ -833,19 +833,26 @@ def json_report(spark, sf_dir):
 
 
 @registered(
-    "SELECT project, path, language, status, loc, sloc, n_security, n_smells, patterns, custom_entries FROM (SELECT m.project, m.path, m.language, "
-    "CASE WHEN t.content = '' THEN 'empty' ELSE 'ok' END AS status, m.loc, m.sloc, m.n_security, m.n_smells, "
+    "SELECT project, path, language, family, status, size_bytes, loc, sloc, blanks, comments, classes, functions, methods, cyclomatic, cognitive, "
+    "halstead, maintainability_index, complexity_score, complexity_level, n_security, n_smells, duplicated_lines, patterns, custom_entries "
+    "FROM (SELECT m.project, m.path, m.language, m.family, "
+    "CASE WHEN t.content = '' THEN 'empty' ELSE 'ok' END AS status, m.size_bytes, m.loc, m.sloc, m.blanks, m.comments, m.classes, m.functions, "
+    "m.methods, m.cyclomatic, m.cognitive, round(m.halstead, 4) AS halstead, round(m.maintainability_index, 4) AS maintainability_index, "
+    "round(m.complexity_score, 4) AS complexity_score, m.complexity_level, m.n_security, m.n_smells, m.duplicated_lines, "
     "coalesce(p.n, 0)::BIGINT AS patterns, CASE WHEN m.language IN ('typescript', 'tsx') THEN 2 WHEN m.language = 'rust' THEN 4 ELSE 0 END::BIGINT AS custom_entries "
     "FROM metrics m JOIN typed t ON m.project = t.project AND m.path = t.path LEFT JOIN (SELECT project, path, count(*) AS n "
     "FROM pattern_hits GROUP BY ALL) p ON p.project = m.project AND p.path = m.path)",
     "metrics", "pattern_hits",
 )
 def file_metrics(spark, sf_dir):
-    """The whole per-file table, shown by a few of its columns."""
+    """The whole per-file table; arrays and the map are shown by their sizes."""
     metrics = fm.file_metrics(corpus.typed_files(spark, sf_dir))
     patterns = F.aggregate("pattern_counts", F.lit(0), lambda acc, c: acc + c["n"])
+    rounded = [F.round(name, 4).alias(name) for name in ("halstead", "maintainability_index", "complexity_score")]
     return metrics.select(
-        "project", "path", "language", "status", "loc", "sloc", "n_security", "n_smells",
+        "project", "path", "language", "family", "status", F.col("size_bytes").cast("long").alias("size_bytes"),
+        "loc", "sloc", "blanks", "comments", "classes", "functions", "methods", "cyclomatic", "cognitive", *rounded,
+        "complexity_level", "n_security", "n_smells", "duplicated_lines",
         patterns.cast("long").alias("patterns"), F.size("custom").cast("long").alias("custom_entries"),
     )
 
