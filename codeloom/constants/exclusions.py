@@ -2,28 +2,20 @@
 
 # Fixed values.
 EXCLUDED_DIRS = (
-    # environments and package managers
     ".venv", "venv", "env", "virtualenv", "__pycache__", ".git", "node_modules",
     ".npm", ".yarn", "bower_components", "jspm_packages", ".pnpm-store",
-    # build output
     "build", "dist", ".next", ".nuxt", "target", "bin", "obj", "out",
     "output", "artifacts", ".gradle", ".maven", "cmake-build-*",
-    # documentation and examples
     "example", "examples", "template", "templates", "sample", "samples",
     "docs", "documentation", "javadoc", "apidoc", "man", "manual",
-    # test and coverage output
     "benchmark", "benchmarks", "coverage", ".coverage", ".pytest_cache",
     ".mypy_cache", ".ruff_cache", ".eslintcache", "jest-cache", ".nyc_output",
     "htmlcov", "test-results", ".tox", ".hypothesis",
-    # third-party code
     "vendor", "third_party", "external", "deps", "lib", "libs",
     "packages", "ext", "extern", "third-party", "thirdparty",
-    # editors
     ".idea", ".vscode", ".vs", ".eclipse", ".settings", ".project",
     ".classpath", ".metadata", ".fleet", ".sublime-*",
-    # operating systems
     ".DS_Store", "__MACOSX", "Thumbs.db", "desktop.ini",
-    # temporary
     "tmp", "temp", "cache", ".cache", ".tmp",
 )
 
@@ -32,33 +24,22 @@ TEST_DIRS = ("test", "tests", "__tests__", "spec", "specs")
 
 # Fixed values.
 EXCLUDED_FILES = (
-    # metadata
     ".DS_Store", "Thumbs.db", "desktop.ini", ".directory",
-    # Python bytecode and cache
     "*.pyc", "*.pyo", "*.pyd", ".python-version", ".coverage.*",
-    # binaries
     "*.so", "*.dll", "*.dylib", "*.o", "*.obj", "*.exe", "*.lib",
     "*.a", "*.la", "*.lo", "*.class", "*.jar", "*.war", "*.ear",
-    # lock files
     "package-lock.json", "yarn.lock", "Cargo.lock", "Gemfile.lock",
     "poetry.lock", "composer.lock", "Pipfile.lock", "pnpm-lock.yaml",
-    # configuration
     ".env", ".env.*", "*.config", "*.conf", "*.cfg", "*.ini",
-    # logs
     "*.log", "*.logs", "npm-debug.log*", "yarn-debug.log*",
     "yarn-error.log*", "lerna-debug.log*",
-    # backups
     "*~", "*.bak", "*.swp", "*.swo", "*.tmp", "*.temp",
     "*.orig", "*.rej", "*.old", "*.new",
-    # generated
     "*.min.*", "*.bundle.*", "*.map", "*.generated.*",
     "*.pb.go", "*_pb2.py", "*.g.cs", "*.g.dart",
-    # documents
     "*.md", "*.rst", "*.txt", "LICENSE*", "README*", "CHANGELOG*",
     "CONTRIBUTING*", "AUTHORS*", "NOTICE*", "PATENTS*",
-    # media and archives
     "*.jpg", "*.jpeg", "*.png", "*.gif", "*.ico", "*.svg",
     "*.pdf", "*.zip", "*.tar", "*.gz", "*.rar", "*.7z",
-    # databases
     "*.db", "*.sqlite", "*.sqlite3", "*.mdb",
 )

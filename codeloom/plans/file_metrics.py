@@ -6,12 +6,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.constants.rules import Rule
+from codeloom.constants.rules import SECURITY_RULES, Rule
 from codeloom.functions.once import columns_once
 from codeloom.functions.text import identifiers, split_lines
 from codeloom.operators import complexity as cx
@@ -254,8 +254,8 @@ def file_metrics(files: DataFrame, provided: dict[str, Column] | None = None) ->
 
 
 @columns_once
-def _security_items() -> Column:
-    return fd.security_findings("text", "family")
+def _security_items(rules: tuple[Rule, ...] = tuple(SECURITY_RULES)) -> Column:
+    return fd.rule_findings("text", "family", rules)
 
 
 @columns_once
@@ -268,9 +268,10 @@ def _pattern_items() -> Column:
     return fd.pattern_findings("text", "family")
 
 
-def security_issues(files: DataFrame) -> DataFrame:
-    """One row per security finding, located."""
-    return with_text(files).select(*KEY, F.inline(_security_items()))
+def security_issues(files: DataFrame, only: Callable[[Rule], bool] | None = None) -> DataFrame:
+    """One row per security finding, located; ``only`` picks the rules that are looked for."""
+    rules = SECURITY_RULES if only is None else tuple(rule for rule in SECURITY_RULES if only(rule))
+    return with_text(files).select(*KEY, F.inline(_security_items(tuple(rules))))
 
 
 def code_smells(files: DataFrame, extra_rules: Sequence[Rule] = ()) -> DataFrame:

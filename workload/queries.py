@@ -465,7 +465,9 @@ def security_chart(spark, sf_dir):
     "security_hits",
 )
 def critical_list(spark, sf_dir):
-    return _located(ru.critical_vulnerabilities(fm.security_issues(corpus.typed_files(spark, sf_dir))))
+    return _located(ru.critical_vulnerabilities(
+        fm.security_issues(corpus.typed_files(spark, sf_dir), lambda rule: rule.level == "critical")
+    ))
 
 
 @registered(
@@ -489,7 +491,7 @@ def secrets_in_prose(spark, sf_dir):
     from codeloom.operators.discovery import with_language
 
     prose = with_language(corpus.files(spark, sf_dir, parts=("documents",)))
-    secrets = fm.security_issues(prose).where(F.col("type") == "hardcoded_secret")
+    secrets = fm.security_issues(prose, lambda rule: rule.type == "hardcoded_secret")
     return _located(secrets.select("project", "path", "line", "col", "position"))
 
 
