@@ -1,6 +1,7 @@
 """Licence scans: sentences are mapped to identifiers of known licence sentences, whose sequence is matched by rules.
 
-Everything is a column expression. A text without any marker word is not cut into sentences.
+Everything is a column expression. A text without any marker, whatever stands between a marker's words, is not cut into
+sentences.
 """
 
 from __future__ import annotations
@@ -8,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Marker words, in lower case; every sentence below holds one.
-MARKERS = ("licen", "copyright", "spdx", "permission", "redistribut", "warrant", "public domain", "liab", "cc by", "cc0", "endorse")
+# Markers in normalised text; every sentence below holds one.
+MARKERS = (
+    "licen", "copyright", "spdx", "permission", "redistribut", "warrant", "public domain", "liab", "cc by", "cc0", "endorse",
+    "creative commons", "clause",
+)
 
 # Licence sentences as they read in lower case, every run of other characters than a-z and 0-9 one space.
 # One sentence may have several identifiers.
@@ -98,6 +102,12 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
+def _marked(text: Column) -> Column:
+    """Whether a text, once it is normalised, will hold a marker: a space of the marker stands for any run of other characters."""
+    found = _any(text, tuple(m for m in MARKERS if " " not in m))
+    return found | F.rlike(text, F.lit("|".join(m.replace(" ", "[^a-z0-9]+") for m in MARKERS if " " in m)))
+
+
 def sentences(text: Column) -> Column:
     """The sentences of a text, in order, in lower case, with every run of other characters than a-z and 0-9 one space."""
     pieces = F.split(F.regexp_replace(F.lower(text), SENTENCE_END, f"$1{CUT}"), CUT)
@@ -117,7 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
     and empty strings. Repeated rows are scanned alike; other columns are left out; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.select("doc_id", text.alias("text")).withColumn("marked", _any(F.lower("text"), MARKERS))
+    marked = docs.select("doc_id", text.alias("text")).withColumn("marked", _marked(F.lower("text")))
     found = F.when(F.col("marked"), F.flatten(F.transform(sentences(F.col("text")), identifiers)))
     known = marked.select("doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
     out = known.select("doc_id", "ids", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", " ").alias("known"))
@@ -131,16 +141,21 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """The scan as one statement in DuckDB's SQL, with the same patterns in its own functions."""
+    """The scan as one statement in DuckDB's SQL, with the same patterns in its own functions.
+
+    The markers and sentence ends of the statement are those it was written with: it looks for the first markers in raw text and
+    ends sentences at semicolons, so it leaves out licences that only the operator finds.
+    """
+    markers, sentence_end = MARKERS[:11], r"([.!?;])[ \t\r\n]+|\r?\n[ \t]*\r?\n"
 
     def quote(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
     def marked(name: str) -> str:
-        return "(" + " OR ".join(f"contains({name}, {quote(m)})" for m in MARKERS) + ")"
+        return "(" + " OR ".join(f"contains({name}, {quote(m)})" for m in markers) + ")"
 
     cases = ", ".join(f"CASE WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)} END" for n, p in SENTENCES)
-    end = quote(SENTENCE_END)
+    end = quote(sentence_end)
     steps = [
         f"cut AS (SELECT doc_id, CASE WHEN {marked('lower(text)')} THEN"
         f" string_split(regexp_replace(lower(text), {end}, '\\1{CUT}', 'g'), '{CUT}') ELSE [] END AS parts FROM documents)",

@@ -151,6 +151,63 @@ def test_licences(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+# One text that holds nothing else for every entry of SENTENCES.
+ALONE = {
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-apache-2": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-bsd-3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-bsd-2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-gpl-3": "SPDX-License-Identifier: GPL-3.0",
+    "spdx-gpl-2": "SPDX-License-Identifier: GPL-2.0",
+    "spdx-lgpl-3": "SPDX-License-Identifier: LGPL-3.0",
+    "spdx-agpl-3": "SPDX-License-Identifier: AGPL-3.0",
+    "spdx-mpl-2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "mit-name": "The MIT License",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd-endorse": "may be used to endorse or promote products derived from this software",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "bsd-3-name": "BSD-3-Clause",
+    "bsd-2-name": "2-clause BSD",
+    "apache-2-name": "Apache License, Version 2.0",
+    "apache-2-terms": "you may not use this file except in compliance with the License",
+    "apache-2-copy": "You may obtain a copy of the License at",
+    "apache-2-warranty": "software distributed under the License is distributed on an \"AS IS\" BASIS",
+    "agpl-3-name": "GNU Affero General Public License v3",
+    "lgpl-3-name": "GNU Lesser General Public License v3",
+    "lgpl-2-name": "GNU Lesser General Public License version 2.1",
+    "gpl-3-name": "GNU General Public License v3",
+    "gpl-2-name": "GNU General Public License version 2",
+    "gpl-later": "either this License, or any later version",
+    "mpl-2-name": "Mozilla Public License, Version 2.0",
+    "epl-2-name": "Eclipse Public License v2.0",
+    "cc-by-nc-sa": "CC-BY-NC-SA-4.0",
+    "cc-by-nc-nd": "CC-BY-NC-ND-4.0",
+    "cc-by-nc": "CC-BY-NC-4.0",
+    "cc-by-sa": "CC-BY-SA-4.0",
+    "cc-by": "Creative Commons Attribution 4.0 International.",
+    "cc0-name": "CC0-1.0",
+    "unlicense-release": "This is free and unencumbered software released into the public\ndomain",
+    "all-rights": "Copyright 2020 A, all rights reserved",
+}
+
+
+def test_every_licence_sentence_is_found_alone(spark):
+    names = [n for n, _ in licenses.SENTENCES]
+    assert sorted(ALONE) == sorted(names)
+    table = spark.createDataFrame([(k, ALONE[n]) for k, n in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.known.split() for r in licenses.scan(table).collect()}
+    assert [n for k, n in enumerate(names) if n not in got[k]] == []
+
+
 def test_substrings(docs, empty):
     got = _rows(recompression.dedup(docs))
     want = plain.kept_words([r[:2] for r in ROWS[:7] + ROWS[8:]])
