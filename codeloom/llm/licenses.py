@@ -89,8 +89,8 @@ RULES = (
     ("Proprietary", r"<all-rights>"),
 )
 
-#: A sentence ends at a full stop, mark or semicolon before white space, or at an empty line.
-SENTENCE_END = r"([.!?;])[ \t\r\n]+|\r?\n[ \t]*\r?\n"
+#: A sentence ends at a full stop or mark before white space, or at an empty line; licence notices go on after semicolons.
+SENTENCE_END = r"([.!?])[ \t\r\n]+|\r?\n[ \t]*\r?\n"
 #: A character that no text holds after normalisation.
 CUT = "␞"
 

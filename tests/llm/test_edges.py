@@ -208,6 +208,25 @@ def test_every_licence_sentence_is_found_alone(spark):
     assert [n for k, n in enumerate(names) if n not in got[k]] == []
 
 
+NOTICE = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the"
+    " Free Software Foundation; either version {} of the License, or (at your option) any later version."
+)
+
+
+def test_standard_notices_hold_semicolons(spark):
+    notices = [
+        ("General Public License", "2", "GPL-2.0"),
+        ("General Public License", "3", "GPL-3.0"),
+        ("Lesser General Public License", "2.1", "LGPL-2.1"),
+        ("Lesser General Public License", "3", "LGPL-3.0"),
+        ("Affero General Public License", "3", "AGPL-3.0"),
+    ]
+    rows = [(k, NOTICE.format(name, version)) for k, (name, version, _) in enumerate(notices)]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(notices))] == [want for _, _, want in notices]
+
+
 def test_substrings(docs, empty):
     got = _rows(recompression.dedup(docs))
     want = plain.kept_words([r[:2] for r in ROWS[:7] + ROWS[8:]])
