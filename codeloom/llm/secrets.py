@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import re
 
@@ -28,9 +30,9 @@ MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 #: Words that make the rest of their line a sensitive context.
 CONTEXT = (b"passw", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"auth", b"bearer", b"credential", b"private_key", b"signature", b"access_key")
-CONTEXT_REACH = 48
-MIN_NOVEL, MAX_NOVEL = 16, 512
-NOVELTY = 0.75
+MIN_NOVEL = 16
+#: Compressed bytes a byte that make a string novel, or the share of what a random string of its length and letters has, if that is less.
+NOVELTY, RANDOM_SHARE = 0.75, 0.9
 SURROUNDING = 2048
 #: Identifiers common in code, which prime the compressor: a string made of them is no secret.
 IDENTIFIERS = (
@@ -41,7 +43,10 @@ IDENTIFIERS = (
     b" 127.0.0.1 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ example placeholder changeme"
     b" your_api_key_here your-secret-here xxxxxxxxxxxxxxxxxxxxxxxx 00000000-0000-0000-0000-000000000000 deadbeef"
 )
-_WORD_AFTER = re.compile(rb"[A-Za-z0-9+/_=-]{%d,%d}" % (MIN_NOVEL, MAX_NOVEL))
+#: A whole run, and what follows it after dots.
+_WORD_AFTER = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}+(?:\.[A-Za-z0-9+/_=-]+)*+" % MIN_NOVEL)
+_ALPHABETS = (b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_HEXES = (b"0123456789abcdef", b"0123456789ABCDEF")
 _CONTEXT = re.compile(rb"(?i:" + b"|".join(re.escape(c) for c in CONTEXT) + rb")")
 
 _IS_HEX = np.zeros(256, bool)
@@ -79,28 +84,67 @@ def novelty(candidate: bytes, surrounding: bytes) -> float:
     return (len(packer.compress(candidate)) - len(packer.compress(b""))) / len(candidate)
 
 
+def alphabet(candidate: bytes) -> bytes:
+    """The letters that candidate is drawn from: hex digits, or its classes of letters with the marks that it holds."""
+    own = set(candidate)
+    for hexes in _HEXES:
+        if own <= set(hexes):
+            return hexes
+    held = b"".join(x for x in _ALPHABETS if own & set(x))
+    return held + bytes(sorted(own - set(held)))
+
+
+@functools.lru_cache(4096)
+def _least(letters: bytes, size: int) -> float:
+    """The novelty from which a string of a size over letters counts as random."""
+    drawn = np.frombuffer(letters, np.uint8)[np.random.default_rng(size).integers(0, len(letters), size)]
+    return min(NOVELTY, RANDOM_SHARE * novelty(drawn.tobytes(), b""))
+
+
+def _candidates(text: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the runs after the first context word of each line, and of what follows a context word inside a run."""
+    found: set[tuple[int, int]] = set()
+    contexts = [m.end() for m in _CONTEXT.finditer(text)]
+    at = 0
+    while at < len(contexts):
+        line = text.find(b"\n", contexts[at])
+        end = line if line >= 0 else len(text)
+        last = bisect.bisect_right(contexts, end, at)
+        own = contexts[at:last]
+        for m in _WORD_AFTER.finditer(text, own[0], end):
+            found.add(m.span())
+            for cut in own[bisect.bisect_right(own, m.start()) : bisect.bisect_left(own, m.end())]:
+                if inner := _WORD_AFTER.search(text, cut, m.end()):
+                    found.add(inner.span())
+        at = max(last, at + 1)
+    return sorted(found)
+
+
 def novel_spans(text: bytes, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of strings after a context word on its line that are letters and digits and stay incompressible."""
+    """(start, kind, end) of strings after a context word on its line that hold letters and digits and stay incompressible.
+
+    A string that the known spans leave less than MIN_NOVEL bytes of is not reported again.
+    """
     lower = text.lower()
     if not any(c in lower for c in CONTEXT):
         return []
-    found: dict[int, int] = {}
-    for context in _CONTEXT.finditer(text):
-        line = text.find(b"\n", context.end(), context.end() + CONTEXT_REACH + MAX_NOVEL)
-        end = line if line >= 0 else min(len(text), context.end() + CONTEXT_REACH + MAX_NOVEL)
-        for m in _WORD_AFTER.finditer(text, context.end(), end):
-            if m.start() - context.end() > CONTEXT_REACH:
-                break
-            found.setdefault(m.start(), m.end())
-    spans = []
-    for a, b in sorted(found.items()):
+    spans: list[tuple[int, int, int]] = []
+    for a, b in _candidates(text):
         word = text[a:b]
-        if any(a < e and s < b for s, _, e in known) or (spans and a < spans[-1][2]):
+        if spans and a < spans[-1][2]:
             continue
+        if known:
+            left, reach = 0, a
+            for s, _, e in known:
+                if s < b and e > reach:
+                    left += max(0, s - reach)
+                    reach = e
+            if left + max(0, b - reach) < MIN_NOVEL:
+                continue
         if not (re.search(rb"[0-9]", word) and re.search(rb"[A-Za-z]", word)):
             continue
         around = text[max(0, a - SURROUNDING) : a] + b"\n" + text[b : b + SURROUNDING]
-        if novelty(word, around) >= NOVELTY:
+        if novelty(word, around) >= _least(alphabet(word), len(word)):
             spans.append((a, 3, b))
     return spans
 

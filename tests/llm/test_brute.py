@@ -82,6 +82,28 @@ def test_novel_secrets_and_what_is_none():
     assert secrets.novel_spans(repeated, []) == []
 
 
+def test_secrets_of_any_length_alphabet_and_place():
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base64_letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = [draw(base64_letters, n) for n in (20, 600, 700, 3000)]
+    words += [".".join(draw(base64_letters[:62], n) for n in sizes) for sizes in ((36, 200, 43), (400, 900, 342))]
+    words += [draw("0123456789ABCDEF", n) for n in (80, 128, 256, 512)]
+    words += [draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", n) for n in (100, 400)]
+    words += [draw("abcdefghijklmnopqrstuvwxyz0123456789", n) for n in (100, 400)]
+    for word in words:
+        for before in ("Authorization: Bearer ", "the token, as it was sent to all of us the other day by mail and on paper: "):
+            text = f"{before}{word}\nnext line".encode()
+            assert [text[a:b].decode() for a, _, b in secrets.novel_spans(text, [])] == [word], word
+
+
+def test_a_known_form_does_not_hide_the_rest():
+    text = b"Bearer f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda.q7Zp2LxV9tRk4WmB8sYd3NfHc6qP5"
+    known = secrets.base_spans(text)
+    ((a, _, b),) = secrets.novel_spans(text, known)
+    assert (a, b) == (7, len(text))
+
+
 def test_byte_pairs_equal_the_library(spark, texts):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as lines:
