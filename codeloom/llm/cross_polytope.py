@@ -66,30 +66,36 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0)
 
 
-def _bucketed(vectors: DataFrame, width: int, tables: int, probes: int) -> DataFrame:
-    """vec_id, vector, bucket: a row for each of the vector's buckets (probes of each table)."""
+def _width(length: int) -> int:
+    return 1 << (max(1, length) - 1).bit_length()
+
+
+def _bucketed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
+    """vec_id, vector, length, bucket: a row for each of the vector's buckets (probes of each table of its length)."""
 
     def run(batches):
         import pandas as pd
 
-        flips = signs(width, tables)
         for batch in batches:
             for i in range(0, len(batch), 2048):
-                part = batch.iloc[i : i + 2048]
-                x = np.array(part["vector"].tolist(), np.float64)
-                length = np.sqrt((x / np.abs(x).max(axis=1, keepdims=True)) ** 2 @ np.ones(x.shape[1]))[:, None]
-                unit = x / np.abs(x).max(axis=1, keepdims=True) / length
-                axes = [nearest_axes(unit, f, probes) + t * 2 * width for t, f in enumerate(flips)]
-                axes = np.concatenate(axes, axis=1)
-                yield pd.DataFrame(
-                    {
-                        "vec_id": np.repeat(part["vec_id"].to_numpy(), axes.shape[1]),
-                        "vector": part["vector"].repeat(axes.shape[1]).to_numpy(),
-                        "bucket": axes.reshape(-1),
-                    }
-                )
-
-    return vectors.mapInPandas(run, "vec_id long, vector array<double>, bucket int")
+                for length, part in batch.iloc[i : i + 2048].groupby(batch["vector"].str.len(), sort=True):
+                    width = _width(length)
+                    x = np.array(part["vector"].tolist(), np.float64)
+                    size = np.sqrt((x / np.abs(x).max(axis=1, keepdims=True)) ** 2 @ np.ones(x.shape[1]))[:, None]
+                    unit = x / np.abs(x).max(axis=1, keepdims=True) / size
+                    flips = signs(width, tables)
+                    axes = [nearest_axes(unit, f, probes) + t * 2 * width for t, f in enumerate(flips)]
+                    axes = np.concatenate(axes, axis=1)
+                    yield pd.DataFrame(
+                        {
+                            "vec_id": np.repeat(part["vec_id"].to_numpy(), axes.shape[1]),
+                            "vector": part["vector"].repeat(axes.shape[1]).to_numpy(),
+                            "length": length,
+                            "bucket": axes.reshape(-1),
+                        }
+                    )
+
+    return vectors.mapInPandas(run, "vec_id long, vector array<double>, length int, bucket int")
 
 
 def _ranked(queries, rows, count: int):
@@ -130,10 +136,9 @@ def search(
     """query_id, rank (from 1), vec_id and score: of each query the nearest vectors found, nearest first.
 
     vectors and queries have (vec_id, embedding); a query's own vec_id is no candidate, ties go to the smaller vec_id. A
-    vector that is null, zero, or holds a null or a non-finite component takes no part, nor does one with a null vec_id
-    or another length than the longest of vectors; repeated rows of one vec_id count once, the largest vector of them.
-    A bucket is dealt in blocks of CHUNK vectors and queries, so a bucket of any size is searched whole. An empty table
-    gives an empty result.
+    vector that is null, zero, or holds a null or a non-finite component takes no part, nor does one with a null vec_id.
+    A query's candidates are the vectors of its own length. Repeated rows of one vec_id count once, the largest vector of them. A bucket is dealt in blocks of
+    CHUNK vectors and queries, so a bucket of any size is searched whole. An empty table gives an empty result.
     """
 
     def clean(table: DataFrame) -> DataFrame:
@@ -142,22 +147,22 @@ def search(
         table = table.filter(F.col("vec_id").isNotNull() & _valid(F.col("vector")))
         return table.groupBy("vec_id").agg(F.max("vector").alias("vector"))
 
-    rows = clean(vectors)
-    longest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
-    length = max(1, longest)
-    width = 1 << (length - 1).bit_length()
-    rows = _bucketed(rows.filter(F.size("vector") == length), width, tables, 1)
-    asks = _bucketed(clean(queries).filter(F.size("vector") == length), width, tables, probes)
-    # tables * 2 * width counts at most
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    crowds = asks.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("crowds"))
-    plan = F.broadcast(sizes.join(crowds, "bucket"))
-    rows, asks = rows.join(plan, "bucket"), asks.join(plan, "bucket")
+    rows, asks = clean(vectors), clean(queries)
+    return _searched(_bucketed(rows, tables, 1), _bucketed(asks, tables, probes), nearest)
+
+
+def _searched(rows: DataFrame, asks: DataFrame, nearest: int) -> DataFrame:
+    """The nearest rows in the buckets of asks, both with vec_id, vector, length and bucket."""
+    # tables * 2 * width counts of a length at most
+    sizes = rows.groupBy("length", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    crowds = asks.groupBy("length", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("crowds"))
+    plan = F.broadcast(sizes.join(crowds, ["length", "bucket"]))
+    rows, asks = rows.join(plan, ["length", "bucket"]), asks.join(plan, ["length", "bucket"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    rows = rows.select("bucket", own("parts").alias("part"), every("crowds").alias("crowd"), "vec_id", "vector")
-    asks = asks.select("bucket", every("parts").alias("part"), own("crowds").alias("crowd"), "vec_id", "vector")
-    keys = ["bucket", "part", "crowd"]
+    rows = rows.select("length", "bucket", own("parts").alias("part"), every("crowds").alias("crowd"), "vec_id", "vector")
+    asks = asks.select("length", "bucket", every("parts").alias("part"), own("crowds").alias("crowd"), "vec_id", "vector")
+    keys = ["length", "bucket", "part", "crowd"]
     found = (
         asks.groupBy(*keys)
         .cogroup(rows.groupBy(*keys))

@@ -258,6 +258,14 @@ def test_vectors(spark):
     assert cross_polytope.search(table, none).count() == 0
 
 
+def test_a_longer_row_or_another_length_takes_nothing_away(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.5, 0.0]), (2, [nan] * 9), (3, [1.0, 0.0]), (4, [2.0, 1.0]), (5, [None] * 17)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in cross_polytope.search(table, table).collect())
+    assert got == [(0, 1, 1.0), (1, 0, 1.0), (3, 4, 2.0), (4, 3, 2.0)]
+
+
 def test_every_operator_has_a_query():
     from codeloom.llm.queries import QUERIES
 
