@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.steps import settled
+
 TABLES, PROBES = 16, 8
 NEAREST = 20
 EVERY = 20
@@ -137,7 +139,8 @@ def search(
 
     vectors and queries have (vec_id, embedding); a query's own vec_id is no candidate, ties go to the smaller vec_id. A
     vector that is null, zero, or holds a null or a non-finite component takes no part, nor does one with a null vec_id.
-    A query's candidates are the vectors of its own length. Repeated rows of one vec_id count once, the largest vector of them. A bucket is dealt in blocks of
+    A query's candidates are the vectors of its own length; one that finds fewer than nearest of them in its buckets is
+    compared with all. Repeated rows of one vec_id count once, the largest vector of them. A bucket is dealt in blocks of
     CHUNK vectors and queries, so a bucket of any size is searched whole. An empty table gives an empty result.
     """
 
@@ -148,7 +151,19 @@ def search(
         return table.groupBy("vec_id").agg(F.max("vector").alias("vector"))
 
     rows, asks = clean(vectors), clean(queries)
-    return _searched(_bucketed(rows, tables, 1), _bucketed(asks, tables, probes), nearest)
+    near = settled(_searched(_bucketed(rows, tables, 1), _bucketed(asks, tables, probes), nearest))
+    # all of a length in one bucket, for the queries that lack some of the nearest vectors that there are
+    held = near.groupBy("query_id").agg(F.count("*").alias("found")).withColumnRenamed("query_id", "vec_id")
+    whole = [t.select("vec_id", "vector", F.size("vector").alias("length"), F.lit(0).alias("bucket")) for t in (rows, asks)]
+    there = whole[0].groupBy("length").agg(F.count("*").alias("there"))
+    lacking = whole[1].join(held, "vec_id", "left").filter(F.coalesce("found", F.lit(0)) < nearest).join(F.broadcast(there), "length")
+    # a query's own vector is no candidate where it is there; to count it in costs a search that finds no more
+    lacking = settled(lacking.filter(F.coalesce("found", F.lit(0)) < F.col("there")).select("vec_id", "vector", "length", "bucket"))
+    if lacking.isEmpty():
+        return near
+    rest = _searched(whole[0], lacking, nearest)
+    asked = lacking.select(F.col("vec_id").alias("query_id"))
+    return near.join(asked, "query_id", "left_anti").unionByName(rest)
 
 
 def _searched(rows: DataFrame, asks: DataFrame, nearest: int) -> DataFrame:

@@ -266,6 +266,17 @@ def test_a_longer_row_or_another_length_takes_nothing_away(spark):
     assert got == [(0, 1, 1.0), (1, 0, 1.0), (3, 4, 2.0), (4, 3, 2.0)]
 
 
+def test_small_tables_give_all_candidates(spark):
+    rng = random.Random(8)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(64)]) for k in range(21)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.search(table, table).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    dot = lambda a, b: sum(x * y for x, y in zip(rows[a][1], rows[b][1], strict=True))
+    assert got == {k: sorted((j for j in range(21) if j != k), key=lambda j: (-dot(k, j), j)) for k in range(21)}
+
+
 def test_every_operator_has_a_query():
     from codeloom.llm.queries import QUERIES
 
