@@ -213,6 +213,32 @@ def test_scores_are_probabilities_and_better_than_shares(spark):
     assert learned > shares
 
 
+def test_rare_words_are_predicted_from_their_context(spark):
+    rng = random.Random(9)
+    pairs = [(f"left{k}", f"right{k}") for k in range(300)]
+    texts = [" ".join(w for _ in range(60) for w in pairs[rng.randrange(300)]) for _ in range(300)]
+    shuffled = [" ".join(rng.sample(t.split(), 120)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, model = pseudo_likelihood.fit(docs)
+    other = spark.createDataFrame(list(enumerate(shuffled)), "doc_id long, text string")
+    sums = [sum(r.log_likelihood for r in pseudo_likelihood.scored(d, counts, model).collect()) for d in (docs, other)]
+    # the classes of frequent words aside, a bag of words would score both alike
+    assert sums[0] > sums[1] + 100
+    again = pseudo_likelihood.fit(docs.repartition(7))[1]
+    assert all(np.allclose(model[k], again[k], atol=1e-4) for k in model)
+
+
+def test_branches_share_all_words_of_a_bucket():
+    rng = np.random.default_rng(3)
+    names = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(1 << 16) + np.uint64(7)
+    names, n = np.unique(names), None
+    n = rng.integers(1, 50, len(names))
+    word, level, odds = pseudo_likelihood.branches(names, n)
+    side = ((names[word] >> level.astype(np.uint64)) & np.uint64(1)).astype(float) * 2 - 1
+    log = np.bincount(word, -np.logaddexp(0, -side * odds), len(names))
+    assert np.allclose(np.exp(log), n / n.sum(), rtol=1e-4)
+
+
 def test_pipeline_stages(spark):
     from codeloom.llm.steps import settled
 
