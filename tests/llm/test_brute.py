@@ -228,6 +228,10 @@ def test_rare_words_are_predicted_from_their_context(spark):
     assert all(np.allclose(model[k], again[k], atol=1e-4) for k in model)
 
 
+def test_every_word_is_a_target_once():
+    assert pseudo_likelihood.ROUNDS == pseudo_likelihood.SHARE
+
+
 def test_branches_share_all_words_of_a_bucket():
     rng = np.random.default_rng(3)
     names = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(1 << 16) + np.uint64(7)
