@@ -24,6 +24,7 @@ POOL = 16  # positions of the first layer averaged
 NEAR = 32
 THRESHOLD = 0.3
 SAMPLE_ROWS, SAMPLE_CHUNKS, SAMPLE_BYTES = 3_000, 4, 65_536
+SAMPLE_PIECES = -(-(SAMPLE_BYTES - OVERLAP) // (CHUNK - OVERLAP))  # chunks of a text in the sample, as many as SAMPLE_BYTES hold
 STEPS, BATCH, RATE = 240, 64, 0.01
 GROUPS = CHUNK // 4
 WINDOWS = GROUPS // POOL
@@ -163,8 +164,15 @@ def _gradient(model: Model, chunks, lengths, firsts, target) -> Model:
     return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = STEPS) -> Model:
-    """Adam on the log loss, BATCH texts a step, at most SAMPLE_CHUNKS random chunks of a text at a time."""
+def sampled(text: bytes) -> list[bytes]:
+    """The chunks of a text in order, SAMPLE_PIECES of them by hash over the whole text if it has more."""
+    starts, lengths, _ = cut(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    order = np.argsort(W.mix(np.arange(len(starts), dtype=np.uint64) + np.uint64(len(text))))
+    return [text[starts[k] : starts[k] + lengths[k]] for k in np.sort(order[:SAMPLE_PIECES])]
+
+
+def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, steps: int = STEPS) -> Model:
+    """Adam on the log loss over texts given as their chunks, BATCH texts a step, at most SAMPLE_CHUNKS random chunks of a text at a time."""
     model, rng = initial(seed), np.random.default_rng(seed)
     share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     model["d"][:] = np.log(share / (1 - share))
@@ -172,9 +180,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = ST
         return model
     held = []
     for text in texts:
-        data = np.frombuffer(text, np.uint8)
-        starts, lengths, _ = cut(data, np.array([0, len(data)]))
-        held.append((gathered(data, starts, lengths), lengths))
+        lengths = np.array([len(x) for x in text], np.int64)
+        data = np.frombuffer(b"".join(text), np.uint8)
+        held.append((gathered(data, np.cumsum(lengths) - lengths, lengths), lengths))
     m = {k: np.zeros_like(v) for k, v in model.items()}
     v = {k: np.zeros_like(x) for k, x in model.items()}
     order: list[int] = []
@@ -205,15 +213,22 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of labels (doc_id, quality) on docs (doc_id, text), learned outside the held-out fold.
 
-    The sample is the `sample_rows` labelled rows with the smallest hashes, with at most SAMPLE_BYTES of a text: a
-    documented bound on what reaches the driver. Rows with a null id or label take no part.
+    The sample is the `sample_rows` labelled rows with the smallest hashes, one row of a doc_id, with at most SAMPLE_PIECES
+    chunks of a text: a documented bound on what reaches the driver. Rows with a null id or label take no part.
     """
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     known = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    part = F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, SAMPLE_BYTES)
-    rows = sample.select("doc_id", part.alias("text"), "quality").toPandas().sort_values(["doc_id", "text"])
-    return train([bytes(t) for t in rows["text"]], rows["quality"].to_numpy(float))
+    sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("one"))
+    sample = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "one.text", F.col("one.quality").cast("double").alias("quality"))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        chunks = [sampled(t.encode()) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "chunks": chunks, "quality": batch.column("quality")}
+
+    rows = mapped(sample, work, "doc_id long, chunks array<binary>, quality double").collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
+    return train([[bytes(x) for x in r.chunks] for r in rows], np.array([r.quality for r in rows], float))
 
 
 def _texts(column: pa.Array) -> Iterator[W.Slice]:

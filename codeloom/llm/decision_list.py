@@ -217,8 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = statistics(texts.join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"))), "doc_id", "left_semi"))
-    rows = rows.join(F.broadcast(known), "doc_id").select(*[c.alias(n) for n, c in features().items()], "quality").toPandas()
     names = list(FEATURES)
+    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", *[c.alias(n) for n, c in features().items()], "quality")
+    # one row of a doc_id, however often documents or labels repeat it
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*names, "quality")).alias("one")).select("doc_id", "one.*").toPandas()
+    rows = rows.sort_values("doc_id")
     return learn(rows[names].to_numpy(float), (rows["quality"] == 0).to_numpy(), names)
 
 

@@ -277,6 +277,21 @@ def test_small_tables_give_all_candidates(spark):
     assert got == {k: sorted((j for j in range(21) if j != k), key=lambda j: (-dot(k, j), j)) for k in range(21)}
 
 
+def test_training_sees_the_whole_text_and_one_row_of_an_id(spark, monkeypatch):
+    text = b"a" * 300_000 + b"b" * 300_000
+    chunks = byte_cnn.sampled(text)
+    assert len(chunks) == byte_cnn.SAMPLE_PIECES and any(b"b" in x for x in chunks) and any(b"a" in x for x in chunks)
+    assert b"".join(byte_cnn.sampled(b"short")) == b"short"
+    docs = spark.createDataFrame([(k % 9, BASE) for k in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(byte_cnn, "train", lambda texts, quality: seen.append(len(texts)))
+    monkeypatch.setattr(decision_list, "learn", lambda x, bad, names: seen.append(len(x)))
+    byte_cnn.fit(docs, labels)
+    decision_list.fit(docs, labels)
+    assert seen[0] <= 9 and seen[1] == 9
+
+
 def test_every_operator_has_a_query():
     from codeloom.llm.queries import QUERIES
 
