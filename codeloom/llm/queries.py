@@ -14,8 +14,10 @@ from codeloom.llm import (
     cross_polytope,
     decision_list,
     licenses,
+    line_dedup,
     minhash_dedup,
     mixing,
+    periodic_runs,
     pseudo_likelihood,
     recompression,
     secrets,
@@ -90,6 +92,17 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.scored(docs, *pseudo_likelihood.fit(docs))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one in ten of which is made to repeat its words first."""
+    docs = _documents(spark, sf_dir)
+    return periodic_runs.report(docs.select("doc_id", periodic_runs.repeating(F.col("doc_id"), F.col("text")).alias("text")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that at least ten documents hold, dropped."""
+    return line_dedup.dedup(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_cross_polytope": op2_cross_polytope,
@@ -101,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -150,6 +165,8 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::
 FROM documents LEFT JOIN totals USING (doc_id)
 """,
     "op8_license_scan": licenses.scan_sql(),
+    "op11_periodic_runs": periodic_runs.report_sql(),
+    "op13_line_dedup": line_dedup.dedup_sql(),
     "op3_mix_sources": r"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
