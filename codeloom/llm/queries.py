@@ -18,6 +18,7 @@ from codeloom.llm import (
     minhash_dedup,
     mixing,
     periodic_runs,
+    prefix_trie,
     pseudo_likelihood,
     recompression,
     secrets,
@@ -98,6 +99,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(docs.select("doc_id", periodic_runs.repeating(F.col("doc_id"), F.col("text")).alias("text")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each starting with turns of the first of its five."""
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that at least ten documents hold, dropped."""
     return line_dedup.dedup(_documents(spark, sf_dir))
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -166,6 +173,7 @@ FROM documents LEFT JOIN totals USING (doc_id)
 """,
     "op8_license_scan": licenses.scan_sql(),
     "op11_periodic_runs": periodic_runs.report_sql(),
+    "op12_prefix_trie": prefix_trie.prefix_trie_sql(),
     "op13_line_dedup": line_dedup.dedup_sql(),
     "op3_mix_sources": r"""
 WITH sized AS (
