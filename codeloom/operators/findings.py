@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.constants.levels import CODE_INDICATORS
 from codeloom.constants.rules import (
-    JS_FUNCTIONS, PATTERN_RULES, PYTHON_FUNCTION, SECURITY_RULES, SMELL_RULES, Rule,
+    JS_FUNCTIONS, PATTERN_RULES, PYTHON_FUNCTION, SECURITY_RULES, SIEVES, SMELL_RULES, Rule,
 )
 from codeloom.functions.regex import INLINE_SPACE_RANGES, SPACE_RANGES, java_regex
 from codeloom.functions.scan import locate, locate_with_context, running, scan, split_by
@@ -52,7 +52,31 @@ def _by_family(family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -
 
 
 def _regex(rule: Rule) -> str:
-    return _quoted(java_regex(rule.pattern, rule.ignore_case))
+    pattern = rule.pattern if rule.sieve is None else rule.sieve.pattern
+    return _quoted(java_regex(pattern, rule.ignore_case))
+
+
+def _part(text: str, rule: Rule) -> str:
+    """The part of the text that the rule's pattern is tried on."""
+    if rule.sieve is None or not rule.sieve.ends:
+        return text
+    for characters in rule.sieve.ends:
+        tail = text
+        for character in characters:
+            tail = f"substring_index({tail}, {_quoted(character)}, -1)"
+        text = f"left({text}, length({text}) - length({tail}))"
+    closing = rule.sieve.closing
+    return f"concat({text}, IF({text} = '', '', {_quoted(closing)}))" if closing else text
+
+
+def _hits(text: str, rule: Rule, group: int = 0) -> str:
+    return f"regexp_extract_all({_part(text, rule)}, {_regex(rule)}, {group})"
+
+
+def _marks(text: str, rule: Rule) -> str | None:
+    """For a pattern that also eats: one text per hit, empty for what was only eaten."""
+    eats = rule.sieve is not None and rule.sieve.group
+    return _hits(text, rule, rule.sieve.group) if eats else None
 
 
 def _described(rule: Rule) -> str:
@@ -79,11 +103,12 @@ def rule_counts(text: str, family: str, rules: Sequence[Rule]) -> Column:
     """array<struct<rule_id,type,severity,level,n>> of the rules that match at all."""
 
     def one(rule: Rule) -> str:
-        n = f"regexp_count({text}, {_regex(rule)})"
+        n = f"regexp_count({_part(text, rule)}, {_regex(rule)})"
+        if _marks(text, rule):
+            n = f"size(filter({_marks(text, rule)}, mark -> mark <> ''))"
         if rule.drop_literals:
             excused = " OR ".join(f"contains(hit, {_quoted(part)})" for part in rule.drop_literals)
-            hits = f"regexp_extract_all({text}, {_regex(rule)}, 0)"
-            n = f"size(filter({hits}, hit -> NOT ({excused})))"
+            n = f"size(filter({_hits(text, rule)}, hit -> NOT ({excused})))"
         return f"named_struct('rule', {_described(rule)}, 'n', {_guarded(text, rule, n)})"
 
     matched = F.filter(_by_family(family, rules, one), lambda c: c["n"] > 0)
@@ -111,12 +136,14 @@ def _finding(rule_id, type_, message, line, col, position, level, severity) -> C
 
 
 def _matched(text: str, family: str, rules: Sequence[Rule]) -> Column:
-    """array<struct<rule,parts>> of the rules that match, the text split by each of them."""
+    """array<struct<rule,parts>> of the rules that match, the text split by each of them; ``marks`` tells hits from
+    what was only eaten and is null for patterns that don't eat."""
 
     def one(rule: Rule) -> str:
         parts = (
-            f"named_struct('gaps', split({text}, {_regex(rule)}, -1), "
-            f"'hits', regexp_extract_all({text}, {_regex(rule)}, 0))"
+            f"named_struct('gaps', split({_part(text, rule)}, {_regex(rule)}, -1), "
+            f"'hits', {_hits(text, rule)}, "
+            f"'marks', {_marks(text, rule) or 'cast(null as array<string>)'})"
         )
         return f"named_struct('rule', {_described(rule)}, 'parts', {_guarded(text, rule, parts)})"
 
@@ -126,6 +153,12 @@ def _matched(text: str, family: str, rules: Sequence[Rule]) -> Column:
     )
 
 
+def _real(found: Column, parts: Column) -> Column:
+    """``found``, one item per hit, without those that were only eaten."""
+    marked = F.filter(found, lambda _, i: F.get(parts["marks"], i) != "")
+    return F.when(parts["marks"].isNull(), found).otherwise(marked)
+
+
 def _message(rule: Column, hit: Column) -> Column:
     name = F.call_function("regexp_extract", hit["text"], rule["name_pattern"], F.lit(1))
     with_line = F.replace(rule["message"], F.lit("{line}"), hit["line"].cast("string"))
@@ -139,7 +172,7 @@ def rule_findings(text: str, family: str, rules: Sequence[Rule]) -> Column:
 
     def report(m: Column) -> Column:
         rule = m["rule"]
-        hits = F.filter(locate(m["parts"]), lambda hit: ~_excused(hit["text"], rule))
+        hits = F.filter(_real(locate(m["parts"]), m["parts"]), lambda hit: ~_excused(hit["text"], rule))
         return F.transform(
             hits,
             lambda hit: _finding(
@@ -165,7 +198,7 @@ def pattern_findings(text: str, family: str) -> Column:
 
     def report(m: Column) -> Column:
         return F.transform(
-            locate_with_context(m["parts"]),
+            _real(locate_with_context(m["parts"]), m["parts"]),
             lambda hit: F.struct(
                 m["rule"]["rule_id"].alias("rule_id"), m["rule"]["type"].alias("pattern"),
                 hit["position"].alias("position"), hit["line"].alias("line"),
@@ -364,18 +397,23 @@ def _js_hits(content: Column) -> Column:
     """array<struct<at,opened,regex>> of the declarations of all four shapes."""
 
     def split(pattern: str, part: str) -> Column:
-        regex = java_regex(pattern)
-        parts = F.struct(split_by(content, regex).alias("parts"), F.lit(regex).alias("regex"))
+        sieve = SIEVES[pattern]
+        regex = java_regex(sieve.pattern)
+        marks = F.regexp_extract_all(content, F.lit(regex), F.lit(sieve.group))
+        parts = F.struct(
+            split_by(content, regex).alias("parts"), marks.alias("marks"), F.lit(regex).alias("regex")
+        )
         return F.when(content.rlike(java_regex(part)), parts)
 
     def report(m: Column) -> Column:
-        return F.zip_with(
+        found = F.zip_with(
             locate(m["parts"]),
             _opened_before(m["parts"]),
             lambda at, opened: F.struct(
                 at.alias("at"), opened.alias("opened"), m["regex"].alias("regex")
             ),
         )
+        return F.filter(found, lambda _, i: F.get(m["marks"], i) != "")
 
     shapes = F.array(*[split(pattern, part) for pattern, part in JS_FUNCTIONS])
     present = F.filter(shapes, lambda m: m.isNotNull() & (F.size(m["parts"]["hits"]) > 0))

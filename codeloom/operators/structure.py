@@ -20,7 +20,7 @@ PY_DEF = r"(?:async\s+)?def\s+\w"
 PY_IMPORT = rf"(?m)(?:^|(?<=[;:]))[{INLINE_SPACE_RANGES}]*+(import\s[^\n;]+|from\s[^\n;]*?\simport\b[^\n;]*)"
 # The keyword first, so that the look-behind is only tried behind it.
 JS_CLASS = r"class(?<![\w$.]class)\s+[A-Za-z_$]"
-JS_FUNCTION = r"function(?<![\w$.]function)\b\s*\*?\s*[\w$]*\s*[(<]"
+JS_FUNCTION = r"function(?<![\w$.]function)\b\s*+(?:\*\s*+)?[\w$]*+\s*+[(<]"
 JS_METHOD = (
     _LINE
     + r"(?:(?:public|private|protected|static|async|override|abstract|get|set)\s+)*+\*?"

@@ -218,9 +218,14 @@ def pattern_files(metrics: DataFrame) -> DataFrame:
 
 
 def dependency_counts(metrics: DataFrame) -> DataFrame:
-    """How often each import occurs in a project."""
+    """How often each import occurs in a project.
+
+    An inner explode of a named column makes Spark infer a filter on its size, which sinks below the projection and
+    evaluates the structure expression a second time; an outer one and a filter on what it gives do not.
+    """
     return (
-        metrics.select("project", F.explode("imports").alias("module"))
+        metrics.select("project", F.explode_outer("imports").alias("module"))
+        .where(F.col("module").isNotNull())
         .groupBy("project", "module")
         .agg(F.count("*").alias("uses"))
     )
