@@ -296,4 +296,4 @@ def test_every_operator_has_a_query():
     from codeloom.llm.queries import QUERIES
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
