@@ -2,7 +2,7 @@
 
 Patterns are Python-flavoured text (braces escaped); ``functions.regex`` turns them into
 Java patterns with the same meaning. ``literal`` is text that every match must contain, so a file
-without it needs no scan.
+without it needs no scan; of several texts, one.
 
 A pattern that looks far ahead and fails would look again from each of its other starts. Such a rule has
 a ``Sieve``: a pattern that finds the same matches in time proportional to the text.
@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from codeloom.constants.languages import JS, PYTHON
+from codeloom.functions.regex import WORD_BEHIND
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class Rule:
     family: str
     type: str
     pattern: str
-    literal: str | None = None
+    literal: str | tuple[str, ...] | None = None
     severity: str | None = None
     level: str | None = None
     message: str = ""
@@ -78,10 +79,10 @@ DESERIALIZATION = (
     (r"marshal\.loads\(", "marshal.loads("),
 )
 SECRETS = (
-    (r"password\s*=\s*['\"][^'\"]+['\"]", "="),
-    (r"api[_]?key\s*=\s*['\"][^'\"]+['\"]", "="),
-    (r"secret\s*=\s*['\"][^'\"]+['\"]", "="),
-    (r"token\s*=\s*['\"][^'\"]+['\"]", "="),
+    (r"password\s*=\s*['\"][^'\"]+['\"]", "password"),
+    (r"api[_]?key\s*=\s*['\"][^'\"]+['\"]", ("apikey", "api_key")),
+    (r"secret\s*=\s*['\"][^'\"]+['\"]", "secret"),
+    (r"token\s*=\s*['\"][^'\"]+['\"]", "token"),
 )
 UNSAFE_EVAL = ((r"eval\([^\)]+\)", "eval("),)
 DOCUMENT_WRITE = ((r"document\.write\([^\)]+\)", "document.write("),)
@@ -95,7 +96,7 @@ MUTABLE_DEFAULT = (
     (r"def\s+\w+\s*\([^)]*=\s*(\[\]|\{\}|\(\)|\{\s*:\s*\}|\[\s*\]|\(\s*\))[^)]*\)", "def"),
 )
 CONSOLE_STATEMENT = ((r"console\.(log|warn|error|info|debug)\(", "console."),)
-ALERT_USAGE = ((r"\b(alert|prompt|confirm)\(", "("),)
+ALERT_USAGE = ((r"\b(alert|prompt|confirm)\(", ("alert(", "prompt(", "confirm(")),)
 LOOSE_EQUALITY = ((r"[^=!]=(?!=)[^=]", "="),)
 # The pattern above fires on single assignments; this one is what its message describes.
 LOOSE_EQUALITY_STRICT = ((r"(?<![=!<>])[=!]=(?!=)", "="),)
@@ -197,6 +198,7 @@ _UNQUOTED = r"(?!['\"]\w+['\"])"
 _LAST_PLUS = r"(?:(?:[^,+]*+(\+))++[^\)]*+\)|[^,]*+)"
 _LAST_PERCENT = r"(?:(?:[^,%]*+(%))++[^\)]*+\)|[^,]*+)"
 _NO_DEFAULT = r"\[\]|\{\}|\(\)|\{\s*:\s*\}|\[\s*\]|\(\s*\)"
+_WORD_START = f"(?<!{WORD_BEHIND})"
 _PLAIN_DECORATED = r"\w++(?:\.\w++)*+\s+def\s+\w+\("
 SIEVES = {
     COMMAND_INJECTION[0][0]: Sieve(rf"os\.system\({_UNQUOTED}[^\)]*+\)", ends=(")",)),
@@ -232,9 +234,9 @@ SIEVES = {
     JS_FUNCTIONS[0][0]: Sieve(r"function\s+(\w+)\s*\((?:[^)]*+\)\s*(\{)|[^)]*+)", 2),
     JS_FUNCTIONS[1][0]: Sieve(r"(?:const|let|var)\s+(\w+)\s*=\s*function\s*\((?:[^)]*+\)\s*(\{)|[^)]*+)", 2),
     JS_FUNCTIONS[2][0]: Sieve(r"(?:const|let|var)\s+(\w+)\s*=\s*\((?:[^)]*+\)\s*=>\s*(\{)|[^)]*+)", 2),
-    JS_FUNCTIONS[3][0]: Sieve(r"\b(\w+)\s*:\s*function\s*\((?:[^)]*+\)\s*(\{)|[^)]*+)", 2),
-    JS_FACTORY[2][0]: Sieve(r"\b\w+\.prototype\.create\w+\s*="),
-    JS_PROTOTYPE[0][0]: Sieve(r"\b\w+\.prototype\.\w+\s*="),
+    JS_FUNCTIONS[3][0]: Sieve(_WORD_START + r"(\w++)\s*:\s*function\s*\((?:[^)]*+\)\s*(\{)|[^)]*+)", 2),
+    JS_FACTORY[2][0]: Sieve(_WORD_START + r"\w++\.prototype\.create\w+\s*="),
+    JS_PROTOTYPE[0][0]: Sieve(_WORD_START + r"\w++\.prototype\.\w+\s*="),
 }
 
 

@@ -64,12 +64,28 @@ def _moved(state: Column, step: Column, prefix: str) -> Column:
     )
 
 
+# Stands at both ends of a match while a text is cut; a text that holds it is cut by two passes.
+MARK = "\x01"
+
+
 def split_by(content: Column, pattern: str) -> Column:
-    """struct(gaps, hits): the text between the matches (one more) and the matches."""
-    return F.struct(
+    """struct(gaps, hits): the text between the matches (one more) and the matches.
+
+    One pass over the text puts a mark at both ends of each match, and cutting at the marks gives both in turn.
+    """
+    marked = F.split(F.regexp_replace(content, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    once = let(
+        marked,
+        lambda pieces: F.struct(
+            F.filter(pieces, lambda _, i: i % 2 == 0).alias("gaps"),
+            F.filter(pieces, lambda _, i: i % 2 == 1).alias("hits"),
+        ),
+    )
+    twice = F.struct(
         F.split(content, pattern, -1).alias("gaps"),
         F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("hits"),
     )
+    return F.when(content.contains(MARK), twice).otherwise(once)
 
 
 def _locations(parts: Column) -> Column:

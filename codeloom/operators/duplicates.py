@@ -23,6 +23,13 @@ def chunks_of(content: Column) -> Column:
     carries chunk text and each line is hashed once, not six times.
     """
 
+    enough = newlines(content) >= CHUNK_LINES - 1
+    return F.when(enough, let(lines_of(content), _chunks)).otherwise(F.expr(_EMPTY_CHUNKS))
+
+
+def _chunks(of: Column) -> Column:
+    """``chunks_of`` the lines of a text that has enough of them."""
+
     def measured(lines: Column) -> Column:
         return F.struct(
             lines.alias("lines"),
@@ -55,9 +62,18 @@ def chunks_of(content: Column) -> Column:
             ),
         )
 
-    enough = newlines(content) >= CHUNK_LINES - 1
-    chunks = let(lines_of(content), lambda lines: let(measured(lines), keyed))
-    return F.when(enough, chunks).otherwise(F.expr(_EMPTY_CHUNKS))
+    return let(measured(of), keyed)
+
+
+def _any_repeated(lines: Column) -> Column:
+    """Whether two six-line chunks have one hash: half a key, of all chunks, as the test that most files fail."""
+
+    def some(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(hashes) - (CHUNK_LINES - 1))
+        chunks = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(CHUNK_LINES))))
+        return let(chunks, lambda each: F.size(F.array_distinct(each)) < F.size(each))
+
+    return let(F.transform(lines, lambda line: F.xxhash64(line)), some)
 
 
 def repeated_chunks(content: Column) -> Column:
@@ -87,7 +103,11 @@ def repeated_chunks(content: Column) -> Column:
 
     # Two distinct starts need one line more than a chunk.
     enough = newlines(content) >= CHUNK_LINES
-    return F.when(enough, let(chunks_of(content), repeated)).otherwise(F.expr(_EMPTY_PAIRS))
+    found = let(
+        lines_of(content),
+        lambda lines: F.when(_any_repeated(lines), let(_chunks(lines), repeated)).otherwise(F.expr(_EMPTY_PAIRS)),
+    )
+    return F.when(enough, found).otherwise(F.expr(_EMPTY_PAIRS))
 
 
 def duplicated_lines(chunks: Column) -> Column:

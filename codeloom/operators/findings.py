@@ -17,7 +17,7 @@ from codeloom.constants.rules import (
     JS_FUNCTIONS, PATTERN_RULES, PYTHON_FUNCTION, SECURITY_RULES, SIEVES, SMELL_RULES, Rule,
 )
 from codeloom.functions.regex import INLINE_SPACE_RANGES, SPACE_RANGES, java_regex
-from codeloom.functions.scan import locate, locate_with_context, running, scan, split_by
+from codeloom.functions.scan import MARK, locate, locate_with_context, running, scan, split_by
 from codeloom.functions.text import contains_any, let, lines_of, newlines, split_lines, strip
 from codeloom.operators.complexity import brace_lines, opening
 from codeloom.operators.duplicates import repeated_chunks
@@ -36,7 +36,7 @@ def _quoted(value: str | None) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _by_family(family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -> Column:
+def _by_family(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -> Column:
     """array of ``one(rule)`` for the rules of the file's family; null for other families.
 
     Packs are SQL text: a pack of sixty rules is then one expression to build, and every pattern is
@@ -48,7 +48,10 @@ def _by_family(family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -
     branches = " ".join(
         f"WHEN {family} = {_quoted(name)} THEN array({', '.join(items)})" for name, items in packs.items()
     )
-    return F.expr(f"CASE {branches} END")
+    pack = f"CASE {branches} END"
+    if any(rule.ignore_case for rule in rules):
+        pack = f"element_at(transform(array(lower({text})), low -> {pack}), 1)"
+    return F.expr(pack)
 
 
 def _regex(rule: Rule) -> str:
@@ -91,8 +94,15 @@ def _described(rule: Rule) -> str:
 
 
 def _guarded(text: str, rule: Rule, value: str) -> str:
-    """``value`` if the file holds the text that every match needs, else null."""
-    return value if rule.literal is None else f"IF(contains({text}, {_quoted(rule.literal)}), {value}, NULL)"
+    """``value`` if the file holds a text that every match needs, else null. ``low`` is the text in lower case: letters
+    beyond ASCII can match ASCII ones when case is ignored, so other texts are always tried."""
+    if rule.literal is None:
+        return value
+    literals = (rule.literal,) if isinstance(rule.literal, str) else rule.literal
+    held = " OR ".join(f"contains({'low' if rule.ignore_case else text}, {_quoted(part)})" for part in literals)
+    if rule.ignore_case:
+        held = f"octet_length({text}) <> length({text}) OR {held}"
+    return f"IF({held}, {value}, NULL)"
 
 
 def _excused(text: Column, rule: Column) -> Column:
@@ -111,7 +121,7 @@ def rule_counts(text: str, family: str, rules: Sequence[Rule]) -> Column:
             n = f"size(filter({_hits(text, rule)}, hit -> NOT ({excused})))"
         return f"named_struct('rule', {_described(rule)}, 'n', {_guarded(text, rule, n)})"
 
-    matched = F.filter(_by_family(family, rules, one), lambda c: c["n"] > 0)
+    matched = F.filter(_by_family(text, family, rules, one), lambda c: c["n"] > 0)
     counts = F.transform(
         matched,
         lambda c: F.struct(
@@ -140,15 +150,27 @@ def _matched(text: str, family: str, rules: Sequence[Rule]) -> Column:
     what was only eaten and is null for patterns that don't eat."""
 
     def one(rule: Rule) -> str:
-        parts = (
-            f"named_struct('gaps', split({_part(text, rule)}, {_regex(rule)}, -1), "
+        part, group = _part(text, rule), rule.sieve.group if rule.sieve else 0
+        # as functions.scan.split_by, with the group behind each hit where there is one
+        tail = f"{MARK}${group}" if group else ""
+        cut = f"split(regexp_replace({part}, {_regex(rule)}, '{MARK}$0{tail}{MARK}'), '{MARK}', -1)"
+        every = 3 if group else 2
+        nth = lambda k: f"filter(p, (_, i) -> i % {every} = {k})"
+        marks = nth(2) if group else "cast(null as array<string>)"
+        once = (
+            f"element_at(transform(array({cut}), p -> "
+            f"named_struct('gaps', {nth(0)}, 'hits', {nth(1)}, 'marks', {marks})), 1)"
+        )
+        twice = (
+            f"named_struct('gaps', split({part}, {_regex(rule)}, -1), "
             f"'hits', {_hits(text, rule)}, "
             f"'marks', {_marks(text, rule) or 'cast(null as array<string>)'})"
         )
+        parts = f"IF(contains({text}, '{MARK}'), {twice}, {once})"
         return f"named_struct('rule', {_described(rule)}, 'parts', {_guarded(text, rule, parts)})"
 
     return F.filter(
-        _by_family(family, rules, one),
+        _by_family(text, family, rules, one),
         lambda m: m["parts"].isNotNull() & (F.size(m["parts"]["hits"]) > 0),
     )
 
@@ -283,12 +305,16 @@ def python_functions(content: Column, longer_than: int = -1) -> Column:
             ),
         )
 
-    return let(
+    found = let(
         _python_lengths(content),
         lambda lengths: F.when(F.exists(lengths, lambda n: n > longer_than), located(lengths)).otherwise(
             F.expr(_EMPTY_FUNCTIONS)
         ),
     )
+    # The lines of a function lie between two filled lines at column 0.
+    stretches = F.split(content, f"\n(?=[^{SPACE_RANGES}])", -1)
+    room = F.exists(stretches, lambda text: (newlines(text) > longer_than) & text.contains("def"))
+    return F.when(room, found).otherwise(F.expr(_EMPTY_FUNCTIONS))
 
 
 MINIMUM_BLOCK = 256
@@ -397,12 +423,8 @@ def _js_hits(content: Column) -> Column:
     """array<struct<at,opened,regex>> of the declarations of all four shapes."""
 
     def split(pattern: str, part: str) -> Column:
-        sieve = SIEVES[pattern]
-        regex = java_regex(sieve.pattern)
-        marks = F.regexp_extract_all(content, F.lit(regex), F.lit(sieve.group))
-        parts = F.struct(
-            split_by(content, regex).alias("parts"), marks.alias("marks"), F.lit(regex).alias("regex")
-        )
+        regex = java_regex(SIEVES[pattern].pattern)
+        parts = F.struct(split_by(content, regex).alias("parts"), F.lit(regex).alias("regex"))
         return F.when(content.rlike(java_regex(part)), parts)
 
     def report(m: Column) -> Column:
@@ -413,7 +435,8 @@ def _js_hits(content: Column) -> Column:
                 at.alias("at"), opened.alias("opened"), m["regex"].alias("regex")
             ),
         )
-        return F.filter(found, lambda _, i: F.get(m["marks"], i) != "")
+        # parameters that were only eaten have no end
+        return F.filter(found, lambda hit: hit["at"]["text"].contains(")"))
 
     shapes = F.array(*[split(pattern, part) for pattern, part in JS_FUNCTIONS])
     present = F.filter(shapes, lambda m: m.isNotNull() & (F.size(m["parts"]["hits"]) > 0))

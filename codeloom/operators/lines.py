@@ -27,9 +27,9 @@ RUBY_TOKENS = rf"=begin[\s\S]*?=end|{HASH}|{DOUBLE_QUOTED}|{SINGLE_QUOTED}"
 PHP_TOKENS = f"{HASH}|{SLASH_TOKENS}"
 
 
-def _tokens(content: Column, language: Column, family: Column) -> Column:
-    """The text split by comments and string literals. Text without a comment mark or a quote is
-    left whole."""
+def lexed(content: Column, language: Column, family: Column) -> Column:
+    """The spans of a file, lexed once for all that needs them: struct(gaps, hits), the code between comments and string
+    literals, and these. Null for text without a comment mark or a quote, which is code as a whole."""
     parts = (
         F.when(family == "python", split_by(content, PYTHON_TOKENS))
         .when(family == "js", split_by(content, JS_TOKENS))
@@ -37,7 +37,7 @@ def _tokens(content: Column, language: Column, family: Column) -> Column:
         .when(language == "php", split_by(content, PHP_TOKENS))
         .otherwise(split_by(content, SLASH_TOKENS))
     )
-    return F.when(contains_any(content, ("#", "//", "/*", '"', "'", "=begin")), parts)
+    return F.when(contains_any(content, ("#", "//", "/*", '"', "'", "`", "=begin")), parts)
 
 
 def _is_literal(hit: Column) -> Column:
@@ -45,9 +45,9 @@ def _is_literal(hit: Column) -> Column:
     return quoted & ~hit.startswith('"""') & ~hit.startswith("'''")
 
 
-def touched_lines(content: Column, language: Column, family: Column) -> Column:
+def touched_lines(spans: Column) -> Column:
     """struct(comments, marked): distinct lines touched by a comment, and by a comment or a string
-    literal. A line counts once, so a token adds its own lines but for one already counted."""
+    literal; ``spans`` is ``lexed``. A line counts once, so a token adds its own lines but for one already counted."""
     steps_of = lambda parts: F.zip_with(
         parts["gaps"],
         parts["hits"],
@@ -81,16 +81,11 @@ def touched_lines(content: Column, language: Column, family: Column) -> Column:
         steps = F.slice(steps_of(parts), F.lit(1), F.size(parts["hits"]))
         return F.aggregate(steps, zero, merge)
 
-    return let(
-        _tokens(content, language, family),
-        lambda parts: F.when(parts.isNull(), F.struct(F.lit(0).alias("comments"), F.lit(0).alias("marked")))
-        .otherwise(
-            let(
-                folded(parts),
-                lambda acc: F.struct(acc["comments"].alias("comments"), acc["marked"].alias("marked")),
-            )
-        ),
+    none = F.struct(F.lit(0).alias("comments"), F.lit(0).alias("marked"))
+    found = let(
+        folded(spans), lambda acc: F.struct(acc["comments"].alias("comments"), acc["marked"].alias("marked"))
     )
+    return F.when(spans.isNull(), none).otherwise(found)
 
 
 def _edge_comment_lines(content: Column) -> Column:

@@ -9,10 +9,6 @@ from codeloom.functions.regex import INLINE_SPACE_RANGES, SPACE_RANGES
 from codeloom.functions.text import (
     all_matches, count_matches, let, lstrip, occurrences, rstrip,
 )
-from codeloom.operators.lines import (
-    DOUBLE_QUOTED, HASH, SINGLE_QUOTED, SLASHES, TEMPLATE, TRIPLE_QUOTED,
-)
-
 _LINE = rf"(?m)^[{INLINE_SPACE_RANGES}]*+"
 PY_CLASS = r"class\s+\w"
 PY_DEF = r"(?:async\s+)?def\s+\w"
@@ -32,20 +28,20 @@ TS_INTERFACE = _LINE + r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s
 TS_TYPE = _LINE + r"(?:export\s+)?(?:declare\s+)?type\s+\w+\s*(?:<[^=;]*>)?\s*="
 
 
-def python_code(content: Column) -> Column:
-    """Python text without string literals and comments."""
-    pattern = f"{TRIPLE_QUOTED}|{DOUBLE_QUOTED}|{SINGLE_QUOTED}|{HASH}"
-    return F.regexp_replace(content, pattern, "")
+def code_of(content: Column, spans: Column) -> Column:
+    """The text without string literals and comments; ``spans`` is ``lexed``."""
+    return F.when(spans.isNull(), content).otherwise(F.array_join(spans["gaps"], ""))
 
 
-def js_code(content: Column) -> Column:
-    """JavaScript text without string literals and comments."""
-    return F.regexp_replace(content, f"{SLASHES}|{DOUBLE_QUOTED}|{SINGLE_QUOTED}|{TEMPLATE}", "")
+def js_statements(content: Column, spans: Column) -> Column:
+    """JavaScript text without comments; string literals stay."""
 
+    def kept(gap: Column, hit: Column) -> Column:
+        comment = hit.startswith("//") | hit.startswith("/*")
+        return F.when(hit.isNull() | comment, gap).otherwise(F.concat(gap, hit))
 
-def js_statements(content: Column) -> Column:
-    """JavaScript text without comments; string literals stay."""
-    return F.regexp_replace(content, f"({DOUBLE_QUOTED}|{SINGLE_QUOTED}|{TEMPLATE})|{SLASHES}", "$1")
+    pieces = F.zip_with(spans["gaps"], spans["hits"], kept)
+    return F.when(spans.isNull(), content).otherwise(F.array_join(pieces, ""))
 
 
 def _structure(classes, functions, methods, imports, interfaces, types, traits=None, impls=None) -> Column:
@@ -68,7 +64,7 @@ def no_structure() -> Column:
 
 
 def python_structure(code: Column) -> Column:
-    """``code`` is ``python_code``. A function is a method when a class with a smaller indent is
+    """``code`` is ``code_of``. A function is a method when a class with a smaller indent is
     still open; the outermost open class decides, so its indent is all the state there is."""
     # Of every filled line: its indent and either its first character or the start of a declaration.
     heads = all_matches(code, rf"{_LINE}(?:{PY_CLASS}|{PY_DEF}|[^{SPACE_RANGES}])")
@@ -110,12 +106,12 @@ def python_structure(code: Column) -> Column:
 
 
 def js_structure(code: Column, statements: Column, typescript: Column) -> Column:
-    """``code`` is ``js_code``, ``statements`` is ``js_statements``. Methods count as functions."""
+    """``code`` is ``code_of``; ``statements`` is ``js_statements``, null without an import. Methods count as functions."""
     functions = (
         count_matches(code, JS_FUNCTION) + occurrences(code, "=>") + count_matches(code, JS_METHOD)
     )
     imports = F.when(
-        statements.contains("import"), F.transform(all_matches(statements, JS_IMPORT, 1), rstrip)
+        statements.isNotNull(), F.transform(all_matches(statements, JS_IMPORT, 1), rstrip)
     ).otherwise(F.expr("cast(array() as array<string>)"))
     return _structure(
         count_matches(code, JS_CLASS),
@@ -150,14 +146,15 @@ def rust_keyword_complexity(content: Column) -> Column:
     return total
 
 
-def structure(content: Column, language: Column, family: Column) -> Column:
-    """struct(classes, functions, methods, imports, interfaces, types, traits, impls) of a file."""
+def structure(content: Column, spans: Column, language: Column, family: Column) -> Column:
+    """struct(classes, functions, methods, imports, interfaces, types, traits, impls) of a file; ``spans`` is ``lexed``."""
+    statements = F.when(content.contains("import"), js_statements(content, spans))
     return (
-        F.when(family == "python", let(python_code(content), python_structure))
+        F.when(family == "python", let(code_of(content, spans), python_structure))
         .when(
             family == "js",
             let(
-                F.struct(js_code(content).alias("code"), js_statements(content).alias("statements")),
+                F.struct(code_of(content, spans).alias("code"), statements.alias("statements")),
                 lambda js: js_structure(
                     js["code"], js["statements"], language.isin("typescript", "tsx")
                 ),

@@ -19,7 +19,7 @@ from codeloom.operators import findings as fd
 from codeloom.operators import scores as sc
 from codeloom.operators.duplicates import duplicated_lines, repeated_chunks
 from codeloom.operators.lines import (
-    blank_lines, comment_lines, comment_or_string_lines, definition_counts, touched_lines,
+    blank_lines, comment_lines, comment_or_string_lines, definition_counts, lexed, touched_lines,
 )
 from codeloom.operators.structure import rust_keyword_complexity, structure
 
@@ -70,6 +70,16 @@ def with_text(files: DataFrame) -> DataFrame:
     return _with(files, _text_columns())
 
 
+@columns_once
+def _spans() -> dict[str, Column]:
+    return {"spans": lexed(F.col("text"), F.col("language"), F.col("family"))}
+
+
+def with_spans(files: DataFrame) -> DataFrame:
+    """Add the spans of the text after ``with_text``, once."""
+    return files if "spans" in files.columns else _with(files, [_spans()])
+
+
 @columns_once
 def _line_columns() -> list[dict[str, Column]]:
     text, family, definition = F.col("text"), F.col("family"), F.col("definition")
@@ -78,7 +88,7 @@ def _line_columns() -> list[dict[str, Column]]:
         return F.when(definition.isNotNull(), definition[name]).otherwise(value).cast("long")
 
     return [
-        {"touched": touched_lines(text, F.col("language"), family)},
+        {"touched": touched_lines(F.col("spans"))},
         {
             "loc": count("loc", split_lines(text)),
             "blanks": count("blanks", blank_lines(text)),
@@ -95,7 +105,7 @@ def _line_columns() -> list[dict[str, Column]]:
 
 def with_lines(files: DataFrame) -> DataFrame:
     """Add loc, blanks, comments, sloc and comment_or_string_lines after ``with_text``."""
-    return _with(files, _line_columns()).drop("touched")
+    return _with(with_spans(files), _line_columns()).drop("touched")
 
 
 @columns_once
@@ -103,7 +113,7 @@ def _structure_columns() -> list[dict[str, Column]]:
     found, definition = F.col("structure"), F.col("definition")
     functions = F.when(definition.isNotNull(), definition["functions"]).otherwise(found["functions"])
     return [
-        {"structure": structure(F.col("text"), F.col("language"), F.col("family"))},
+        {"structure": structure(F.col("text"), F.col("spans"), F.col("language"), F.col("family"))},
         {
             "classes": found["classes"].cast("long"),
             "functions": functions.cast("long"),
@@ -115,7 +125,7 @@ def _structure_columns() -> list[dict[str, Column]]:
 
 def with_structure(files: DataFrame) -> DataFrame:
     """Add classes, functions, methods, imports (and the struct they come from)."""
-    return _with(files, _structure_columns())
+    return _with(with_spans(files), _structure_columns())
 
 
 @columns_once
