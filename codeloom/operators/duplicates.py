@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import let, lines_of, newlines, strip
@@ -143,6 +143,34 @@ def cross_file_duplicates(files: DataFrame) -> DataFrame:
     )
 
 
+def clone_regions(files: DataFrame) -> DataFrame:
+    """The maximal stretches of lines of each file whose six-line chunks all occur in another file too.
+
+    project, path, first_line, last_line, n_chunks, and fewest_files and most_files: the fewest and most files that hold
+    one of its chunks. Keys are counted by file on fixed-width rows, one for each chunk of a file; only chunks of shared keys
+    are rows again and are merged by the distance of their lines within the file, which was one row before.
+    """
+    chunks = chunks_of(F.col("content"))
+    once = files.select(F.explode(_per_file(F.sort_array(chunks))).alias("chunk"))
+    keys = [F.col("chunk.key.a").alias("key_a"), F.col("chunk.key.b").alias("key_b")]
+    shared = once.groupBy(*keys).agg(F.count("*").alias("n_files")).where(F.col("n_files") >= 2)
+    places = files.select("project", "path", F.explode(chunks).alias("chunk"))
+    places = places.select("project", "path", F.col("chunk.line").alias("line"), *keys).join(shared, ["key_a", "key_b"])
+    number = F.row_number().over(Window.partitionBy("project", "path").orderBy("line"))
+    return (
+        places.withColumn("region", F.col("line") - number)
+        .groupBy("project", "path", "region")
+        .agg(
+            F.min("line").alias("first_line"),
+            (F.max("line") + CHUNK_LINES - 1).alias("last_line"),
+            F.count("*").alias("n_chunks"),
+            F.min("n_files").alias("fewest_files"),
+            F.max("n_files").alias("most_files"),
+        )
+        .drop("region")
+    )
+
+
 def _per_file(ordered: Column) -> Column:
     """array<struct<key,line,n>>: one entry per distinct chunk of a file, with its first line. The
     run length of a key is the distance between the starts of neighbouring runs."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,16 +9,17 @@ from pyspark.sql import Column, DataFrame
 from codeloom.constants.languages import Extension
 from codeloom.operators.discovery import discover
 from codeloom.plans.file_metrics import file_metrics
+from codeloom.plans.rollups import SUMMARY, project_summary
 
 
 @dataclass(frozen=True)
 class Provider:
     """``columns`` are named expressions over a prepared file (text, language, loc, sloc ...) that
-    become custom metrics; ``project`` aggregates the per-file table to one row per project."""
+    become custom metrics; ``project`` are named aggregates over the per-file table."""
 
     name: str
     columns: dict[str, Column] = field(default_factory=dict)
-    project: Callable[[DataFrame], DataFrame] | None = None
+    project: dict[str, Column] = field(default_factory=dict)
 
 
 class Analyzer:
@@ -51,9 +51,15 @@ class Analyzer:
         }
         return file_metrics(self.discover(files), provided)
 
-    def project_metrics(self, metrics: DataFrame, summary: DataFrame) -> DataFrame:
-        """``summary`` with the columns of every provider's project hook."""
+    def project_metrics(self, metrics: DataFrame) -> DataFrame:
+        """``project_summary`` with the project hooks of all providers, from the one aggregation that it takes anyway.
+
+        A hook is ``<provider>.<name>``, unless its name alone is free.
+        """
+        taken = {"project", *SUMMARY}
+        hooks: dict[str, Column] = {}
         for provider in self.providers.values():
-            if provider.project is not None:
-                summary = summary.join(provider.project(metrics), "project", "left")
-        return summary
+            for name, aggregate in provider.project.items():
+                free = name not in taken and name not in hooks
+                hooks[name if free else f"{provider.name}.{name}"] = aggregate
+        return project_summary(metrics, hooks)

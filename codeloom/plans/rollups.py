@@ -7,7 +7,7 @@ zero without joining a dimension.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -250,12 +250,22 @@ def _score_columns() -> list[Column]:
     ]
 
 
-def project_summary(metrics: DataFrame) -> DataFrame:
-    """Totals, finding counts, level counts and scores per project in one aggregation.
+_LEVELS = [name for name, _ in COMPLEXITY_LEVELS]
+SUMMARY = (
+    "total_files", "total_loc", "total_sloc", "total_comments", "total_blanks", "project_size", "total_classes",
+    "total_functions", "total_methods", "n_security_total", "n_smells_total", *[f"files_{name}" for name in _LEVELS],
+    "security_score", "code_quality_score", "maintainability_score", "avg_maintainability_index",
+    "avg_cyclomatic_complexity", "duplicated_lines_ratio",
+)
+
+
+def project_summary(metrics: DataFrame, hooks: Mapping[str, Column] | None = None) -> DataFrame:
+    """Totals, finding counts, level counts and scores per project in one aggregation, which also takes the ``hooks``:
+    further aggregates by name.
 
     A project without source lines keeps the default scores.
     """
-    levels = [name for name, _ in COMPLEXITY_LEVELS]
+    hooks = dict(hooks or {})
     totals = metrics.groupBy("project").agg(
         F.count("*").alias("total_files"),
         F.sum("loc").alias("total_loc"),
@@ -271,17 +281,14 @@ def project_summary(metrics: DataFrame) -> DataFrame:
         F.sum("duplicated_lines").alias("duplicated_lines_total"),
         F.avg(F.when(F.col("maintainability_index") > 0, F.col("maintainability_index"))).alias("avg_mi"),
         F.avg(F.when(F.col("cyclomatic") > 0, F.col("cyclomatic"))).alias("avg_cc"),
-        *[F.count_if(F.col("complexity_level") == name).alias(f"files_{name}") for name in levels],
+        *[F.count_if(F.col("complexity_level") == name).alias(f"files_{name}") for name in _LEVELS],
+        *[aggregate.alias(f"hook.{name}") for name, aggregate in hooks.items()],
     )
     ratio = F.when(
         F.col("total_sloc") > 0, F.col("duplicated_lines_total") / F.col("total_sloc")
     ).otherwise(F.lit(0.0))
-    return totals.select(
-        "project", "total_files", "total_loc", "total_sloc", "total_comments", "total_blanks",
-        "project_size", "total_classes", "total_functions", "total_methods",
-        "n_security_total", "n_smells_total", *[f"files_{name}" for name in levels],
-        *_score_columns(), ratio.alias("duplicated_lines_ratio"),
-    )
+    scored = totals.select("*", *_score_columns(), ratio.alias("duplicated_lines_ratio"))
+    return scored.select("project", *SUMMARY, *[F.col(f"`hook.{name}`").alias(name) for name in hooks])
 
 
 def project_scores(metrics: DataFrame) -> DataFrame:

@@ -2,20 +2,23 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.constants.languages import Extension
 from codeloom.operators.discovery import short_path, with_language
-from codeloom.operators.duplicates import cross_file_duplicates
+from codeloom.operators.duplicates import clone_regions, cross_file_duplicates
 from codeloom.operators.scores import grade, issue_band
 from codeloom.plans import compare as cp
 from codeloom.plans import file_metrics as fm
 from codeloom.plans import rankings as rk
 from codeloom.plans import reports as rp
 from codeloom.plans import rollups as ru
+from codeloom.plans.order import numbered, ranked_table
 from codeloom.plans.registry import Analyzer, Provider
+from codeloom.plans.reports import write_nested
 from codeloom.sources.tables import from_directory, from_table
 
 BLOCK = "".join(f"shared_{i} = load({i})\n" for i in range(8))
@@ -133,19 +136,19 @@ def test_raw_table_gaps_are_filled(spark):
 def test_providers_languages_and_exclusions(files_of):
     analyzer = Analyzer(exclude_dirs=("gen",), include_tests=True)
     analyzer.register_extension(Extension(".zig", "zig", "other", "//"))
-    provider = Provider(
-        "text", {"chars": F.length("text")},
-        lambda m: m.groupBy("project").agg(F.sum(F.col("custom")["text.chars"]).alias("chars")),
-    )
+    provider = Provider("text", {"chars": F.length("text")}, {"chars": F.sum(F.col("custom")["text.chars"])})
     analyzer.register_provider(provider)
     analyzer.register_provider(provider)
+    analyzer.register_provider(Provider("more", {}, {"chars": F.count("*"), "total_loc": F.max("loc")}))
     files = files_of({"gen/a.py": "x", "tests/b.py": "xyz", "c.zig": "// if a\n// for b\n// let c\n"})
     metrics = analyzer.file_metrics(files)
     rows = {r.path: r for r in metrics.collect()}
     assert set(rows) == {"tests/b.py", "c.zig"} and rows["tests/b.py"].custom["text.chars"] == 3
     assert rows["c.zig"].n_smells == 1 and rows["c.zig"].language == "zig"
-    totals = analyzer.project_metrics(metrics, ru.project_summary(metrics)).collect()
-    assert [(r.project, r.chars) for r in totals] == [("p", 3 + 26)]
+    totals = analyzer.project_metrics(metrics)
+    assert [(r.project, r.chars, r["more.chars"], r["more.total_loc"], r.total_loc) for r in totals.collect()] == [("p", 3 + 26, 2, 4, 5)]
+    plan = totals._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1  # one aggregation for any number of hooks
 
 
 def test_bands_and_paths(spark):
@@ -167,3 +170,50 @@ def test_file_grain_operators_run_on_a_stream(spark, files_of, tmp_path):
     )
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_nested_report_streams_projects(spark, tmp_path):
+    files = spark.createDataFrame(
+        [("a/b", f"f{k:03}.py", k) for k in range(300)] + [("ü", "x.py", 1), ("ü", "a.py", 2)], "project string, path string, loc long"
+    ).repartition(7)
+    projects = spark.createDataFrame([("a/b", 300, {"python": 300}), ("ü", 2, {"python": 2}), ("none", 0, {})],
+                                     "project string, total_files long, languages map<string,long>")
+    for _ in range(2):  # the second run takes the place of the first
+        write_nested(files, projects, str(tmp_path / "out"))
+        names = sorted(os.listdir(tmp_path / "out"))
+        assert names == ["%C3%BC.json", "a%2Fb.json", "none.json"]
+    held = {n: json.load(open(tmp_path / "out" / n, encoding="utf-8")) for n in names}
+    assert [f["path"] for f in held["a%2Fb.json"]["files"]] == [f"f{k:03}.py" for k in range(300)]
+    assert held["%C3%BC.json"] == {"project": {"total_files": 2, "languages": {"python": 2}}, "files": [
+        {"path": "a.py", "loc": 2}, {"path": "x.py", "loc": 1}]}
+    assert held["none.json"]["files"] == []
+    write_nested(files.where("project = 'ü'"), projects.where("project = 'ü'"), str(tmp_path / "out"))
+    assert os.listdir(tmp_path / "out") == ["%C3%BC.json"]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_rows_are_numbered_in_one_order(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.randrange(5), f"p{rng.randrange(400):03}") for _ in range(700)]
+    table = spark.createDataFrame(rows, "n int, path string").repartition(6)
+    got = numbered(table, {"n": F.col("n"), "path": F.col("path")}, parts=parts).collect()
+    assert [(r.n, r.path) for r in sorted(got, key=lambda r: r.rank)] == sorted(rows)
+    assert sorted(r.rank for r in got) == list(range(1, 701))
+    assert numbered(table.limit(0), {"n": F.col("n")}).count() == 0
+
+
+def test_missing_values_rank_as_zero(spark):
+    table = spark.createDataFrame([("p", "b", None), ("p", "a", 0.0), ("q", "a", 3.0), ("q", "c", -1.0)], "project string, path string, v double")
+    down = {(r.project, r.path): r["rank"] for r in ranked_table(table, "v").collect()}
+    assert down == {("q", "a"): 1, ("p", "a"): 2, ("p", "b"): 3, ("q", "c"): 4}
+    up = {(r.project, r.path): r["rank"] for r in ranked_table(table, "v", descending=False).collect()}
+    assert up == {("q", "c"): 1, ("p", "a"): 2, ("p", "b"): 3, ("q", "a"): 4}
+
+
+def test_clone_regions_are_maximal(files_of):
+    shared = [f"this is shared line number {k}" for k in range(20)]
+    other = [f"only one file has line {k}" for k in range(30)]
+    files = files_of({"a.py": "\n".join(other[:5] + shared + other[5:9]), "b.py": "\n".join(shared[:8] + other[9:12] + shared[8:]),
+                      "c.py": "\n".join(other[12:]), "d.py": "\n".join(shared[:8])})
+    got = {(r.path, r.first_line, r.last_line, r.n_chunks, r.fewest_files, r.most_files) for r in clone_regions(files).collect()}
+    assert got == {("a.py", 6, 13, 3, 3, 3), ("a.py", 14, 25, 7, 2, 2), ("b.py", 1, 8, 3, 3, 3), ("b.py", 12, 23, 7, 2, 2), ("d.py", 1, 8, 3, 3, 3)}

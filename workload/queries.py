@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,9 @@ from codeloom.plans import file_metrics as fm
 from codeloom.plans import rankings as rk
 from codeloom.plans import reports as rp
 from codeloom.plans import rollups as ru
+from codeloom.plans.order import ranked_table
 from codeloom.plans.registry import Analyzer, Provider
+from codeloom.sources.shared import shared_folder
 from workload import corpus
 from workload.oracle import LEVEL, NL, count, query, text
 from workload.oracle import words as sql_words
@@ -646,6 +649,19 @@ def cross_file_duplicates(spark, sf_dir):
     return found.withColumn("first_line", F.col("first_line").cast("long"))
 
 
+@registered(
+    "SELECT project, path, min(i)::BIGINT AS first_line, max(i)::BIGINT + 5 AS last_line, count(*) AS n_chunks, min(n) AS fewest_files, "
+    "max(n) AS most_files FROM (SELECT project, path, i, n, i - row_number() OVER (PARTITION BY project, path ORDER BY i) AS region "
+    "FROM all_chunks JOIN (SELECT chunk, count(DISTINCT (project, path)) AS n FROM all_chunks GROUP BY chunk HAVING n >= 2) USING (chunk)) "
+    "GROUP BY project, path, region",
+    "all_chunks",
+)
+def clone_regions(spark, sf_dir):
+    """Over every file, as ``cross_file_duplicates``."""
+    files = corpus.typed_files(spark, sf_dir).select("project", "path", F.coalesce("content", F.lit("")).alias("content"))
+    return dp.clone_regions(files).withColumns({n: F.col(n).cast("long") for n in ("first_line", "last_line")})
+
+
 # Design patterns
 
 
@@ -826,6 +842,46 @@ def compare_projects(spark, sf_dir):
     return _rounded(compared, "left_value", "right_value", "difference")
 
 
+@registered(
+    "SELECT row_number() OVER (ORDER BY sloc DESC, path, project) AS rank, project, path, sloc FROM "
+    "(SELECT project, path, loc - blanks - comments AS sloc FROM line_counts)",
+    "line_counts",
+)
+def ranked_files(spark, sf_dir):
+    """All files of all projects, ranked by source lines."""
+    return ranked_table(_lines(spark, sf_dir).select("project", "path", "sloc"), "sloc")
+
+
+@registered(
+    "SELECT m.project, s.total_files, s.total_loc, s.total_classes, round(s.code_quality_score, 4) AS code_quality_score, "
+    "l.n AS language_files, m.path, m.language, m.loc, m.sloc, round(m.complexity_score, 4) AS complexity, m.n_security AS security_issues, "
+    "m.n_smells AS code_smells, row_number() OVER (PARTITION BY m.project ORDER BY m.path) - 1 AS place "
+    "FROM metrics m JOIN summary s ON s.project = m.project "
+    "JOIN (SELECT project, language, count(*) AS n FROM metrics GROUP BY ALL) l ON l.project = m.project AND l.language = m.language",
+    "metrics", "summary",
+)
+def nested_report(spark, sf_dir):
+    """The nested documents, written, read again and taken apart."""
+    folder = f"{shared_folder(spark)}/nested-{uuid.uuid4().hex}"
+    metrics = f"{folder}/metrics"
+    _judged(spark, sf_dir).write.parquet(metrics)
+    metrics = spark.read.parquet(metrics)
+    files = rp.file_report(metrics)
+    projects = rp.project_report(ru.project_summary(metrics), ru.files_by_language(metrics))
+    rp.write_nested(files, projects.withColumn("name", F.col("project")), f"{folder}/report")
+    documents = rp.read_nested(
+        spark, f"{folder}/report", files.drop("project").schema, projects.drop("project").schema.add("name", "string")
+    )
+    rows = documents.select("project", F.posexplode("files").alias("place", "file"))
+    return rows.select(
+        F.col("project.name").alias("project"), "project.total_files", "project.total_loc", "project.total_classes",
+        F.round("project.code_quality_score", 4).alias("code_quality_score"),
+        F.element_at("project.languages", F.col("file.language")).alias("language_files"), "file.path", "file.language",
+        "file.loc", "file.sloc", F.round("file.complexity", 4).alias("complexity"), "file.security_issues", "file.code_smells",
+        F.col("place").cast("long").alias("place"),
+    )
+
+
 @registered()
 def json_report(spark, sf_dir):
     """One JSON document per project and per file."""
@@ -868,19 +924,27 @@ _TODO = r"\b(TODO|FIXME|note)\b"
     f"list_max([length(l) FOR l IN string_split(text, {NL})]) AS longest FROM typed) GROUP BY project"
 )
 def custom_provider(spark, sf_dir):
-    """A registered provider: two custom file metrics and a project hook over them."""
-
-    def by_project(metrics):
-        return metrics.groupBy("project").agg(
-            F.count("*").alias("files"),
-            F.sum(F.col("custom")["notes.marks"]).cast("long").alias("marks"),
-            F.max(F.col("custom")["notes.longest"]).cast("long").alias("longest_line"),
-        )
-
+    """Two registered providers: custom file metrics, and project hooks over them in one aggregation."""
     longest = F.array_max(F.transform(F.split("text", "\n", -1), F.length))
     analyzer = Analyzer()
+    marks = F.sum(F.col("custom")["notes.marks"]).cast("long")
     analyzer.register_provider(
-        Provider("notes", {"marks": F.regexp_count("text", F.lit(_TODO)), "longest": longest}, by_project)
+        Provider("notes", {"marks": F.regexp_count("text", F.lit(_TODO)), "longest": longest}, {"marks": marks})
     )
+    hooks = {"files": F.count("*"), "longest_line": F.max(F.col("custom")["notes.longest"]).cast("long")}
+    analyzer.register_provider(Provider("size", {}, hooks))
     metrics = analyzer.file_metrics(corpus.files(spark, sf_dir))
-    return analyzer.project_metrics(metrics, metrics.select("project").distinct())
+    return analyzer.project_metrics(metrics).select("project", "files", "marks", "longest_line")
+
+
+@registered(
+    "SELECT project, path, unnest(['cyclomatic', 'cognitive', 'maintainability', 'halstead']) AS metric, "
+    "unnest([round(cyclomatic::DOUBLE, 4), round(cognitive::DOUBLE, 4), round(maintainability_index, 4), round(halstead, 4)]) AS value "
+    "FROM complexity",
+    "complexity",
+)
+def named_metrics(spark, sf_dir):
+    """The named measures of every file, as rows."""
+    named = cx.named_metrics(*[F.col(n) for n in ("cyclomatic", "cognitive", "maintainability_index", "halstead")])
+    rows = _measured(spark, sf_dir).select("project", "path", F.explode(named).alias("metric", "value"))
+    return _rounded(rows, "value")
