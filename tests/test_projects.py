@@ -19,7 +19,8 @@ from codeloom.plans import rollups as ru
 from codeloom.plans.order import numbered, ranked_table
 from codeloom.plans.registry import Analyzer, Provider
 from codeloom.plans.reports import write_nested
-from codeloom.sources.tables import from_directory, from_table
+from codeloom.sources.directory import TreeReader
+from codeloom.sources.tables import from_directory, from_table, source_files
 
 BLOCK = "".join(f"shared_{i} = load({i})\n" for i in range(8))
 FILES = {
@@ -127,6 +128,49 @@ def test_directory_source_keeps_underscore_names(spark, tmp_path):
     assert sum(r.n_security for r in metrics) == 1
 
 
+@pytest.fixture
+def tree(tmp_path):
+    """Three projects with what an analysis leaves out, none of which can be opened."""
+    kept = [f"one/src/f{k:04}.py" for k in range(1200)] + ["one/a.PY", "two/deep/er/and/er/b.rs", "two/_x/__init__.py", "three/z.js", "root.ts"]
+    left = ["one/node_modules/m.js", "one/tests/t.py", "two/pic.png", "two/yarn.lock", "two/a.min.js", "two/.py", "three/gen/g.py", "three/noext"]
+    for path in kept + left:
+        target = tmp_path / "repos" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        if path in left:
+            target.symlink_to("/dev/nowhere/" + path.replace("/", "-"))
+        else:
+            target.write_text(f"# {path}\n")
+    return tmp_path / "repos", kept
+
+
+def test_excluded_files_are_never_opened(spark, tree):
+    root, kept = tree
+    for dealing in ({}, {"split_depth": 0, "slices": 5}, {"split_depth": 1, "slices": 2}, {"split_depth": 9}):
+        files = source_files(spark, str(root), exclude_dirs=("gen",), projects=True, **dealing)
+        rows = {(r.project, r.path): r for r in files.collect()}
+        split = [p.split("/", 1) if "/" in p else ["repos", p] for p in kept]
+        assert set(rows) == {tuple(p) for p in split} and len(rows) == files.count()
+        # a file that had been tried would be unreadable
+        assert all(r.content is not None and r.size_bytes > 0 for r in rows.values())
+        assert files.where("path = 'src/f0001.py'").count() == 1
+
+
+def test_folders_are_dealt_and_filters_pushed(spark, tree):
+    from pyspark.sql import datasource as ds
+
+    root, kept = tree
+    reader = TreeReader({"path": str(root), "projects": "true", "splitDepth": "2", "namesPerPartition": "100"})
+    reader.split_depth = 3
+    wide = [p for p in reader.partitions() if p.path.endswith("one/src")]
+    assert len(wide) == 12 and not any(p.recursive for p in wide)
+    conditions = [ds.EqualTo(("project",), "two"), ds.StringEndsWith(("path",), ".rs"), ds.GreaterThan(("size_bytes",), 3), ds.Not(ds.In(("path",), ("a", "b")))]
+    assert list(reader.pushFilters(conditions)) == [conditions[2]]
+    opened = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+    assert [(r["project"], r["path"]) for r in opened] == [("two", "deep/er/and/er/b.rs")]
+    files = from_directory(spark, str(root), projects=True).where("project = 'three' AND path LIKE '%.js'")
+    assert [r.path for r in files.collect()] == ["z.js"]
+
+
 def test_raw_table_gaps_are_filled(spark):
     raw = spark.sql("SELECT 'p' AS project, 'a.py' AS path, cast(null AS bigint) AS size_bytes, cast(null AS timestamp) AS modified_at, cast('x' AS binary) AS content")
     row = from_table(raw).collect()[0]
