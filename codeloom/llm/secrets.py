@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
 import re
@@ -29,7 +28,7 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 #: Words that make the rest of their line a sensitive context.
-CONTEXT = (b"passw", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"auth", b"bearer", b"credential", b"private_key", b"signature", b"access_key")
+CONTEXT = (b"passw", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"auth", b"bearer", b"credential", b"private_key", b"private key", b"signature", b"access_key")
 MIN_NOVEL = 16
 #: Compressed bytes a byte that make a string novel, or the share of what a random string of its length and letters has, if that is less.
 NOVELTY, RANDOM_SHARE = 0.75, 0.9
@@ -45,6 +44,9 @@ IDENTIFIERS = (
 )
 #: A whole run, and what follows it after dots.
 _WORD_AFTER = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}+(?:\.[A-Za-z0-9+/_=-]+)*+" % MIN_NOVEL)
+#: A value between quotes, with whatever marks it holds, and a line that is one value, quoted, listed or indented at most.
+_QUOTED = re.compile(rb"\"[^\"\s]{%d,}+\"|'[^'\s]{%d,}+'" % (MIN_NOVEL, MIN_NOVEL))
+_VALUE_LINE = re.compile(rb"[ \t]*+(?:- )?[\"']?[A-Za-z0-9+/_=.-]{%d,}+[\"']?[,;]?[ \t\r]*+(?=\n|\Z)" % MIN_NOVEL)
 _ALPHABETS = (b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HEXES = (b"0123456789abcdef", b"0123456789ABCDEF")
 _CONTEXT = re.compile(rb"(?i:" + b"|".join(re.escape(c) for c in CONTEXT) + rb")")
@@ -101,46 +103,66 @@ def _least(letters: bytes, size: int) -> float:
     return min(NOVELTY, RANDOM_SHARE * novelty(drawn.tobytes(), b""))
 
 
-def _candidates(text: bytes) -> list[tuple[int, int]]:
-    """(start, end) of the runs after the first context word of each line, and of what follows a context word inside a run."""
-    found: set[tuple[int, int]] = set()
-    contexts = [m.end() for m in _CONTEXT.finditer(text)]
-    at = 0
-    while at < len(contexts):
-        line = text.find(b"\n", contexts[at])
+def _contexts(text: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the stretches that a context word opens: the rest of its line, and lines behind it that are one value each,
+    such as those of a key block."""
+    found: list[tuple[int, int]] = []
+    for m in _CONTEXT.finditer(text):
+        if found and m.start() < found[-1][1]:
+            continue
+        line = text.find(b"\n", m.end())
         end = line if line >= 0 else len(text)
-        last = bisect.bisect_right(contexts, end, at)
-        own = contexts[at:last]
-        for m in _WORD_AFTER.finditer(text, own[0], end):
-            found.add(m.span())
-            for cut in own[bisect.bisect_right(own, m.start()) : bisect.bisect_left(own, m.end())]:
-                if inner := _WORD_AFTER.search(text, cut, m.end()):
-                    found.add(inner.span())
-        at = max(last, at + 1)
-    return sorted(found)
+        while end < len(text) and (value := _VALUE_LINE.match(text, end + 1)):
+            end = value.end()
+        found.append((m.end(), end))
+    return found
+
+
+def _candidates(text: bytes) -> list[tuple[int, int, bool]]:
+    """(start, end, quoted) of the quoted values and the runs in sensitive contexts, and of the parts of a run between context words.
+
+    The parts of a run don't overlap, so that what is judged grows with the text.
+    """
+    found: set[tuple[int, int, bool]] = set()
+    for start, end in _contexts(text):
+        for m in _QUOTED.finditer(text, start, end):
+            found.add((m.start() + 1, m.end() - 1, True))
+        for m in _WORD_AFTER.finditer(text, start, end):
+            found.add((*m.span(), False))
+            inner = list(_CONTEXT.finditer(text, m.start(), m.end()))
+            for k, word in enumerate(inner):
+                behind = inner[k + 1].start() if k + 1 < len(inner) else m.end()
+                if part := _WORD_AFTER.search(text, word.end(), behind):
+                    found.add((*part.span(), False))
+    return sorted(found, key=lambda c: (c[0], -c[1]))
 
 
 def novel_spans(text: bytes, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of strings after a context word on its line that hold letters and digits and stay incompressible.
+    """(start, kind, end) of strings in a sensitive context that hold letters and digits and stay incompressible.
 
-    A string that the known spans leave less than MIN_NOVEL bytes of is not reported again.
+    A run that the known spans leave less than MIN_NOVEL bytes of is not reported again; a quoted value is, if they leave
+    any of it.
     """
     lower = text.lower()
     if not any(c in lower for c in CONTEXT):
         return []
     spans: list[tuple[int, int, int]] = []
-    for a, b in _candidates(text):
+    passed, reach = 0, 0  # known spans that end in front of every candidate to come, and how far they reach
+    for a, b, quoted in _candidates(text):
         word = text[a:b]
         if spans and a < spans[-1][2]:
             continue
-        if known:
-            left, reach = 0, a
-            for s, _, e in known:
-                if s < b and e > reach:
-                    left += max(0, s - reach)
-                    reach = e
-            if left + max(0, b - reach) < MIN_NOVEL:
-                continue
+        while passed < len(known) and known[passed][2] <= a:
+            reach = max(reach, known[passed][2])
+            passed += 1
+        left, at = 0, max(a, reach)
+        for s, _, e in known[passed:]:
+            if s >= b:
+                break
+            left += max(0, s - at)
+            at = max(at, e)
+        if left + max(0, b - at) < (1 if quoted else MIN_NOVEL):
+            continue
         if not (re.search(rb"[0-9]", word) and re.search(rb"[A-Za-z]", word)):
             continue
         around = text[max(0, a - SURROUNDING) : a] + b"\n" + text[b : b + SURROUNDING]
