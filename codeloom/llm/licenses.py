@@ -16,7 +16,7 @@ MARKERS = (
 )
 
 # Licence sentences as they read in lower case, every run of other characters than a-z and 0-9 one space.
-# One sentence may have several identifiers.
+# One sentence may have several identifiers. Pairs are words of which the second stands somewhere behind the first.
 SENTENCES = (
     ("spdx-mit", r"\bspdx license identifier mit\b"),
     ("spdx-apache-2", r"\bspdx license identifier apache 2 0\b"),
@@ -51,7 +51,7 @@ SENTENCES = (
     ("lgpl-2-name", r"\bgnu lesser general public license( as published by the free software foundation either)? v(ersion )?2\b"),
     ("gpl-3-name", r"\bgnu general public license( as published by the free software foundation either)? v(ersion )?3\b"),
     ("gpl-2-name", r"\bgnu general public license( as published by the free software foundation either)? v(ersion )?2\b"),
-    ("gpl-later", r"\bany later version\b.*\blicense\b|\blicense\b.*\bany later version\b"),
+    ("gpl-later", (("any later version", "license"), ("license", "any later version"))),
     ("mpl-2-name", r"\bmozilla public license v(ersion )?2 0\b"),
     ("epl-2-name", r"\beclipse public license v(ersion )?2 0\b"),
     ("cc-by-nc-sa", r"\bcc by nc sa 4 0\b|\bcreative commons attribution noncommercial sharealike 4 0\b"),
@@ -61,7 +61,7 @@ SENTENCES = (
     ("cc-by", r"\bcc by 4 0\b|\bcreative commons attribution 4 0\b"),
     ("cc0-name", r"\bcc0 1 0\b"),
     ("unlicense-release", r"\bthis is free and unencumbered software released into the public domain\b"),
-    ("all-rights", r"\bcopyright\b.*\ball rights reserved\b"),
+    ("all-rights", (("copyright", "all rights reserved"),)),
 )
 
 # Licences in the order in which they are looked for, as patterns over the sequence of identifiers, each
@@ -114,9 +114,26 @@ def sentences(text: Column) -> Column:
     return F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
+def _follows(sentence: Column, first: str, then: str) -> Column:
+    """Whether then stands behind the first place of first, as whole words: two searches, however often they occur."""
+    padded = F.concat(F.lit(" "), sentence, F.lit(" "))
+    at = F.instr(padded, F.lit(f" {first} "))
+    behind = F.substring(padded, at + len(first) + 1, F.length(padded))
+    return (at > 0) & F.contains(behind, F.lit(f" {then} "))
+
+
+def _holds(sentence: Column, form: str | tuple[tuple[str, str], ...]) -> Column:
+    if isinstance(form, str):
+        return F.rlike(sentence, F.lit(form))
+    found = F.lit(False)
+    for first, then in form:
+        found |= _follows(sentence, first, then)
+    return found
+
+
 def identifiers(sentence: Column) -> Column:
     """The identifiers of one normalised sentence, in the order of SENTENCES."""
-    found = F.array(*[F.when(F.rlike(sentence, F.lit(p)), F.lit(name)) for name, p in SENTENCES])
+    found = F.array(*[F.when(_holds(sentence, form), F.lit(name)) for name, form in SENTENCES])
     return F.when(_any(sentence, MARKERS), F.array_compact(found)).otherwise(F.array().cast("array<string>"))
 
 
@@ -139,28 +156,22 @@ def scan(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_known", "known", F.array_join(F.array_compact(F.array(*names)), ",").alias("licences"))
 
 
-
 def scan_sql() -> str:
-    """The scan as one statement in DuckDB's SQL, with the same patterns in its own functions.
-
-    The markers and sentence ends of the statement are those it was written with: it looks for the first markers in raw text and
-    ends sentences at semicolons, so it leaves out licences that only the operator finds.
-    """
-    markers, sentence_end = MARKERS[:11], r"([.!?;])[ \t\r\n]+|\r?\n[ \t]*\r?\n"
+    """The scan as one statement in DuckDB's SQL: every text is cut, and markers are looked for in each sentence."""
 
     def quote(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
-    def marked(name: str) -> str:
-        return "(" + " OR ".join(f"contains({name}, {quote(m)})" for m in markers) + ")"
+    def form(value: str | tuple[tuple[str, str], ...]) -> str:
+        return value if isinstance(value, str) else "|".join(rf"\b{first}\b.*\b{then}\b" for first, then in value)
 
-    cases = ", ".join(f"CASE WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)} END" for n, p in SENTENCES)
-    end = quote(sentence_end)
+    marked = " OR ".join(f"contains(s, {quote(m)})" for m in MARKERS)
+    cases = ", ".join(f"CASE WHEN regexp_matches(s, {quote(form(f))}) THEN {quote(n)} END" for n, f in SENTENCES)
     steps = [
-        f"cut AS (SELECT doc_id, CASE WHEN {marked('lower(text)')} THEN"
-        f" string_split(regexp_replace(lower(text), {end}, '\\1{CUT}', 'g'), '{CUT}') ELSE [] END AS parts FROM documents)",
+        f"cut AS (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), {quote(SENTENCE_END)}, '\\1{CUT}', 'g'), '{CUT}')"
+        " AS parts FROM documents)",
         "plain AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS parts FROM cut)",
-        f"found AS (SELECT doc_id, coalesce(list_filter(flatten(list_transform(list_filter(parts, lambda s: {marked('s')}),"
+        f"found AS (SELECT doc_id, coalesce(list_filter(flatten(list_transform(list_filter(parts, lambda s: {marked}),"
         f" lambda s: [{cases}])), lambda i: i IS NOT NULL), []) AS ids FROM plain)",
         "r0 AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda i: '<' || i || '>'), ''), '') AS left0 FROM found)",
     ]
