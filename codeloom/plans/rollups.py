@@ -259,36 +259,53 @@ SUMMARY = (
 )
 
 
+def summary_sums() -> dict[str, Column]:
+    """What a summary is made of: sums and counts over files, so that those of parts of a project add up."""
+    index, branches = F.col("maintainability_index"), F.col("cyclomatic")
+    return {
+        "total_files": F.count("*"),
+        "total_loc": F.sum("loc"),
+        "total_sloc": F.sum("sloc"),
+        "total_comments": F.sum("comments"),
+        "total_blanks": F.sum("blanks"),
+        "project_size": F.sum("size_bytes"),
+        "total_classes": F.sum("classes"),
+        "total_functions": F.sum("functions"),
+        "total_methods": F.sum("methods"),
+        "n_security_total": F.sum("n_security"),
+        "n_smells_total": F.sum("n_smells"),
+        "duplicated_lines_total": F.sum("duplicated_lines"),
+        "sum_mi": F.sum(F.when(index > 0, index)),
+        "n_mi": F.count_if(index > 0),
+        "sum_cc": F.sum(F.when(branches > 0, branches)),
+        "n_cc": F.count_if(branches > 0),
+        **{f"files_{name}": F.count_if(F.col("complexity_level") == name) for name in _LEVELS},
+    }
+
+
+def summary_of(totals: DataFrame, *others: str) -> DataFrame:
+    """The summary of a table with ``summary_sums`` per project, and the other columns of the table asked for."""
+    ratio = F.when(
+        F.col("total_sloc") > 0, F.col("duplicated_lines_total") / F.col("total_sloc")
+    ).otherwise(F.lit(0.0))
+    averaged = totals.withColumns(
+        {"avg_mi": F.try_divide("sum_mi", "n_mi"), "avg_cc": F.try_divide("sum_cc", "n_cc")}
+    )
+    scored = averaged.select("*", *_score_columns(), ratio.alias("duplicated_lines_ratio"))
+    return scored.select("project", *SUMMARY, *others)
+
+
 def project_summary(metrics: DataFrame, hooks: Mapping[str, Column] | None = None) -> DataFrame:
     """Totals, finding counts, level counts and scores per project in one aggregation, which also takes the ``hooks``:
     further aggregates by name.
 
     A project without source lines keeps the default scores.
     """
-    hooks = dict(hooks or {})
-    totals = metrics.groupBy("project").agg(
-        F.count("*").alias("total_files"),
-        F.sum("loc").alias("total_loc"),
-        F.sum("sloc").alias("total_sloc"),
-        F.sum("comments").alias("total_comments"),
-        F.sum("blanks").alias("total_blanks"),
-        F.sum("size_bytes").alias("project_size"),
-        F.sum("classes").alias("total_classes"),
-        F.sum("functions").alias("total_functions"),
-        F.sum("methods").alias("total_methods"),
-        F.sum("n_security").alias("n_security_total"),
-        F.sum("n_smells").alias("n_smells_total"),
-        F.sum("duplicated_lines").alias("duplicated_lines_total"),
-        F.avg(F.when(F.col("maintainability_index") > 0, F.col("maintainability_index"))).alias("avg_mi"),
-        F.avg(F.when(F.col("cyclomatic") > 0, F.col("cyclomatic"))).alias("avg_cc"),
-        *[F.count_if(F.col("complexity_level") == name).alias(f"files_{name}") for name in _LEVELS],
-        *[aggregate.alias(f"hook.{name}") for name, aggregate in hooks.items()],
-    )
-    ratio = F.when(
-        F.col("total_sloc") > 0, F.col("duplicated_lines_total") / F.col("total_sloc")
-    ).otherwise(F.lit(0.0))
-    scored = totals.select("*", *_score_columns(), ratio.alias("duplicated_lines_ratio"))
-    return scored.select("project", *SUMMARY, *[F.col(f"`hook.{name}`").alias(name) for name in hooks])
+    sums = [column.alias(name) for name, column in summary_sums().items()]
+    named = {f"hook.{name}": (aggregate, name) for name, aggregate in (hooks or {}).items()}
+    totals = metrics.groupBy("project").agg(*sums, *[aggregate.alias(own) for own, (aggregate, _) in named.items()])
+    out = summary_of(totals, *[f"`{own}`" for own in named])
+    return out.select("project", *SUMMARY, *[F.col(f"`{own}`").alias(name) for own, (_, name) in named.items()])
 
 
 def project_scores(metrics: DataFrame) -> DataFrame:

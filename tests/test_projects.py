@@ -1,5 +1,6 @@
 """Rollups, rankings, comparison, reports, sources and extensions."""
 
+import datetime
 import json
 import os
 import random
@@ -13,6 +14,7 @@ from codeloom.operators.duplicates import clone_regions, cross_file_duplicates
 from codeloom.operators.scores import grade, issue_band
 from codeloom.plans import compare as cp
 from codeloom.plans import file_metrics as fm
+from codeloom.plans import incremental as inc
 from codeloom.plans import rankings as rk
 from codeloom.plans import reports as rp
 from codeloom.plans import rollups as ru
@@ -261,3 +263,28 @@ def test_clone_regions_are_maximal(files_of):
                       "c.py": "\n".join(other[12:]), "d.py": "\n".join(shared[:8])})
     got = {(r.path, r.first_line, r.last_line, r.n_chunks, r.fewest_files, r.most_files) for r in clone_regions(files).collect()}
     assert got == {("a.py", 6, 13, 3, 3, 3), ("a.py", 14, 25, 7, 2, 2), ("b.py", 1, 8, 3, 3, 3), ("b.py", 12, 23, 7, 2, 2), ("d.py", 1, 8, 3, 3, 3)}
+
+
+def test_only_changed_files_are_analysed(spark, files_of, tmp_path):
+    later = datetime.datetime(2024, 2, 1)
+    was = files_of({"a.py": "x = 1\n", "b.py": "y = 2\nz = 3\n", "c.js": "eval(q)\n", "d.py": "w = 1\n", "e.py": None, "n.xyz": "no language"})
+    rows = {r.path: r.asDict() for r in was.collect()}
+    rows["b.py"] |= {"content": "y = 2\n", "size_bytes": 6}  # changed, same time
+    rows["c.js"] |= {"modified_at": later}  # touched
+    rows["d.py"] |= {"content": "w = 2\n", "modified_at": later}  # changed, same size
+    del rows["a.py"]
+    rows["f.rs"] = rows["d.py"] | {"path": "f.rs", "content": "fn main() {}\n"}
+    files = spark.createDataFrame(list(rows.values()), was.schema)
+    before = inc.analysed(was)
+    # a mark in the old table shows which rows were kept
+    before = before._replace(metrics=before.metrics.withColumn("blanks", F.lit(77).cast("long")))
+    before = inc.State(*(t.cache() for t in before))
+    moved = inc.difference(before.snapshot, files).cache()
+    assert {(r.path, r.status) for r in moved.collect()} == {("a.py", "removed"), ("b.py", "changed"), ("d.py", "changed"), ("f.rs", "added")}
+    after = inc.updated(before, files, moved)
+    assert {r.path: r.blanks == 77 for r in after.metrics.collect()} == {"b.py": False, "d.py": False, "f.rs": False, "c.js": True, "e.py": True}
+    now = inc.snapshot(files)
+    assert sorted(map(str, after.snapshot.select(now.columns).collect())) == sorted(map(str, now.collect()))
+    whole = inc.analysed(files)
+    assert inc.summary(after.totals).collect() == inc.summary(whole.totals).collect() == ru.project_summary(whole.metrics).collect()
+    assert inc.difference(after.snapshot, files).count() == 0

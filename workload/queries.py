@@ -17,10 +17,12 @@ from codeloom.operators import complexity as cx
 from codeloom.operators import discovery as ds
 from codeloom.operators import duplicates as dp
 from codeloom.operators import findings as fd
+from codeloom.operators.discovery import with_language
 from codeloom.operators.lines import definition_counts
 from codeloom.operators.structure import rust_keyword_complexity
 from codeloom.plans import compare as cp
 from codeloom.plans import file_metrics as fm
+from codeloom.plans import incremental as inc
 from codeloom.plans import rankings as rk
 from codeloom.plans import reports as rp
 from codeloom.plans import rollups as ru
@@ -734,6 +736,41 @@ def project_summary(spark, sf_dir):
     return _rounded(_summary(spark, sf_dir), *_ROUNDED)
 
 
+def _yesterday(files):
+    """The corpus as it was before one file in 97 changed, one was added, one was removed and one only touched."""
+    draw = F.pmod(F.xxhash64("project", "path"), F.lit(97))
+    earlier = F.col("modified_at") - F.expr("INTERVAL 1 DAY")
+    was = files.where(draw != 1).select(
+        "project", "path", F.when(draw == 0, F.lit(6)).otherwise(F.col("size_bytes")).cast("long").alias("size_bytes"),
+        F.when(draw.isin(0, 2), earlier).otherwise(F.col("modified_at")).alias("modified_at"),
+        F.when(draw == 0, F.lit("x = 1\n")).otherwise(F.col("content")).alias("content"),
+    )
+    removed = files.where(draw == 3).select(
+        "project", F.concat(F.lit("removed/"), "path").alias("path"), "size_bytes", "modified_at", "content"
+    )
+    return was.unionByName(removed)
+
+
+@registered(
+    f"SELECT * EXCLUDE ({', '.join(_ROUNDED)}), {', '.join(f'round({c}, 4) AS {c}' for c in _ROUNDED)} FROM summary",
+    "summary",
+)
+def incremental_summary(spark, sf_dir):
+    """Yesterday's analysis, stored and brought up to date by the files that have changed since."""
+    folder = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
+
+    def stored(name, table):
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    files = corpus.files(spark, sf_dir)
+    was = _yesterday(files)
+    metrics = stored("metrics", fm.file_metrics(with_language(was)))
+    before = inc.State(stored("snapshot", inc.snapshot(was)), metrics, stored("totals", inc.totals_of(metrics)))
+    moved = stored("moved", inc.difference(before.snapshot, files))
+    return _rounded(inc.summary(inc.updated(before, files, moved).totals), *_ROUNDED)
+
+
 @registered(
     "SELECT project, "
     + ", ".join(f"format('{{:,}}', {c}) AS {c}" for c in (
