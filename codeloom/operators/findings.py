@@ -36,7 +36,7 @@ def _quoted(value: str | None) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _by_family(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -> Column:
+def _pack_sql(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -> str:
     """array of ``one(rule)`` for the rules of the file's family; null for other families.
 
     Packs are SQL text: a pack of sixty rules is then one expression to build, and every pattern is
@@ -51,7 +51,11 @@ def _by_family(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rul
     pack = f"CASE {branches} END"
     if any(rule.ignore_case for rule in rules):
         pack = f"element_at(transform(array(lower({text})), low -> {pack}), 1)"
-    return F.expr(pack)
+    return pack
+
+
+def _by_family(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -> Column:
+    return F.expr(_pack_sql(text, family, rules, one))
 
 
 def _regex(rule: Rule) -> str:
@@ -109,8 +113,8 @@ def _excused(text: Column, rule: Column) -> Column:
     return F.exists(rule["drops"], lambda part: text.contains(part))
 
 
-def rule_counts(text: str, family: str, rules: Sequence[Rule]) -> Column:
-    """array<struct<rule_id,type,severity,level,n>> of the rules that match at all."""
+def counts_sql(text: str, family: str, rules: Sequence[Rule]) -> str:
+    """``rule_counts`` as SQL text over two names."""
 
     def one(rule: Rule) -> str:
         n = f"regexp_count({_part(text, rule)}, {_regex(rule)})"
@@ -121,15 +125,14 @@ def rule_counts(text: str, family: str, rules: Sequence[Rule]) -> Column:
             n = f"size(filter({_hits(text, rule)}, hit -> NOT ({excused})))"
         return f"named_struct('rule', {_described(rule)}, 'n', {_guarded(text, rule, n)})"
 
-    matched = F.filter(_by_family(text, family, rules, one), lambda c: c["n"] > 0)
-    counts = F.transform(
-        matched,
-        lambda c: F.struct(
-            *[c["rule"][name].alias(name) for name in ("rule_id", "type", "severity", "level")],
-            c["n"].alias("n"),
-        ),
-    )
-    return F.coalesce(counts, F.expr(EMPTY_COUNTS))
+    fields = ", ".join(f"'{name}', c.rule.{name}" for name in ("rule_id", "type", "severity", "level"))
+    matched = f"filter({_pack_sql(text, family, rules, one)}, c -> c.n > 0)"
+    return f"coalesce(transform({matched}, c -> named_struct({fields}, 'n', c.n)), {EMPTY_COUNTS})"
+
+
+def rule_counts(text: str, family: str, rules: Sequence[Rule]) -> Column:
+    """array<struct<rule_id,type,severity,level,n>> of the rules that match at all."""
+    return F.expr(counts_sql(text, family, rules))
 
 
 def _finding(rule_id, type_, message, line, col, position, level, severity) -> Column:

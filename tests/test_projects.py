@@ -8,7 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.constants import rules as R
 from codeloom.constants.languages import Extension
+from codeloom.operators import findings as fd
 from codeloom.operators.discovery import short_path, with_language
 from codeloom.operators.duplicates import clone_regions, cross_file_duplicates
 from codeloom.operators.scores import grade, issue_band
@@ -18,6 +20,7 @@ from codeloom.plans import incremental as inc
 from codeloom.plans import rankings as rk
 from codeloom.plans import reports as rp
 from codeloom.plans import rollups as ru
+from codeloom.plans import rule_tables as rt
 from codeloom.plans.order import numbered, ranked_table
 from codeloom.plans.registry import Analyzer, Provider
 from codeloom.plans.reports import write_nested
@@ -288,3 +291,26 @@ def test_only_changed_files_are_analysed(spark, files_of, tmp_path):
     whole = inc.analysed(files)
     assert inc.summary(after.totals).collect() == inc.summary(whole.totals).collect() == ru.project_summary(whole.metrics).collect()
     assert inc.difference(after.snapshot, files).count() == 0
+
+
+def test_rules_are_rows_and_a_table_function(spark, files_of):
+    built_in = [r for r in R.SECURITY_RULES if isinstance(r.literal, str)]
+    table = rt.table_of(spark, built_in)
+    again = rt.rules_of(table)
+    assert [(r.rule_id, r.pattern, r.ignore_case) for r in again] == sorted((r.rule_id, r.pattern, r.ignore_case) for r in built_in)
+    typed = with_language(files_of({"a.py": "eval(x)\npickle.loads(y)\nmagic(1) MAGIC(2)", "b.js": "magic(3)"}))
+    texts = fm.with_text(typed)
+    extra = spark.createDataFrame([("house_1", None, "python", None, r"magic\(\d\)", None, "low", None, None, True)], rt.SCHEMA)
+    rt.register(spark, "house_rules", rt.rules_of(table.unionByName(extra)))
+    found = {(r.path, r.rule_id, r.n) for r in rt.hits(texts, "house_rules", "path").collect()}
+    counted = texts.select("path", F.inline(fd.rule_counts("text", "family", again))).collect()
+    assert found == {(r.path, r.rule_id, r.n) for r in counted} | {("a.py", "house_1", 2)}
+    plan = rt.hits(texts, "house_rules", "path")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan.replace("python", "") and "Join" not in plan
+    for bad in (("x", None, "python", None, "(", None), ("x", None, None, None, "a", None), (None, None, "js", None, "a", None)):
+        with pytest.raises(ValueError):
+            rt.rules_of(spark.createDataFrame([(*bad, None, None, None, None)], rt.SCHEMA))
+    with pytest.raises(ValueError):
+        rt.rules_of(extra.unionByName(extra))
+    with pytest.raises(ValueError):
+        rt.register(spark, "no name", again)

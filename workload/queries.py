@@ -26,6 +26,7 @@ from codeloom.plans import incremental as inc
 from codeloom.plans import rankings as rk
 from codeloom.plans import reports as rp
 from codeloom.plans import rollups as ru
+from codeloom.plans import rule_tables as rt
 from codeloom.plans.order import ranked_table
 from codeloom.plans.registry import Analyzer, Provider
 from codeloom.sources.shared import shared_folder
@@ -974,6 +975,29 @@ def custom_provider(spark, sf_dir):
     return analyzer.project_metrics(metrics).select("project", "files", "marks", "longest_line")
 
 
+_ADDED = [
+    ("notes", "custom", "python", "note", r"\b(TODO|FIXME|note)\b", None, "minor", None, "a note", False),
+    ("returned_name", "custom", "js", "style", r"return\s+\w+;", "return", "minor", None, "a name is returned", False),
+    ("shouted", "custom", "js", "style", "const", "const", "minor", None, "in any case", True),
+]
+
+
+@registered(
+    "SELECT project, rule_id, sum(n)::BIGINT AS matches, count(*) AS files FROM ("
+    + " UNION ALL ".join(
+        f"SELECT project, {text(rule_id)} AS rule_id, len(regexp_extract_all(text, {text(('(?i)' if fold else '') + pattern)})) AS n "
+        f"FROM typed WHERE family = {text(family)}"
+        for rule_id, _, family, _, pattern, _, _, _, _, fold in _ADDED
+    )
+    + ") WHERE n > 0 GROUP BY project, rule_id"
+)
+def added_rules(spark, sf_dir):
+    """Rules that are rows of a table, used as a table function."""
+    rules = rt.rules_of(spark.createDataFrame(_ADDED, rt.SCHEMA))
+    rt.register(spark, "added_rules", rules)
+    return rt.matched(_texts(spark, sf_dir).select("project", "path", "text", "family"), "added_rules")
+
+
 @registered(
     "SELECT project, path, unnest(['cyclomatic', 'cognitive', 'maintainability', 'halstead']) AS metric, "
     "unnest([round(cyclomatic::DOUBLE, 4), round(cognitive::DOUBLE, 4), round(maintainability_index, 4), round(halstead, 4)]) AS value "
