@@ -41,9 +41,8 @@ def cyclomatic(content: Column, family: Column, tokens: Column) -> Column:
     )
 
 
-def python_cognitive(content: Column) -> Column:
-    """A line ending in a colon with a nesting word costs the depth plus one and deepens; another
-    line that sits shallower than the depth resets it to its indent / 4."""
+def python_steps(content: Column) -> Column:
+    """array<struct<indent,nests>> of the filled lines."""
     stripped = F.filter(
         F.transform(
             lines_of(content),
@@ -51,16 +50,22 @@ def python_cognitive(content: Column) -> Column:
         ),
         lambda line: line["text"] != "",
     )
-    steps = F.transform(
+    return F.transform(
         stripped,
         lambda line: F.struct(
             (line["width"] - F.length(line["text"])).alias("indent"),
             (line["text"].endswith(":") & contains_any(line["text"], PYTHON_NESTING_WORDS)).alias("nests"),
         ),
     )
-    zero = F.struct(F.lit(0).alias("cost"), F.lit(0).alias("depth"))
+
+
+def python_cognitive(content: Column, depth: Column | None = None) -> Column:
+    """A line ending in a colon with a nesting word costs the depth plus one and deepens; another
+    line that sits shallower than the depth resets it to its indent / 4. ``depth`` is that in front of the text."""
+    start = F.lit(0) if depth is None else depth.cast("int")
+    zero = F.struct(F.lit(0).alias("cost"), start.alias("depth"))
     return F.aggregate(
-        steps,
+        python_steps(content),
         zero,
         lambda acc, line: F.struct(
             F.when(line["nests"], acc["cost"] + acc["depth"] + 1).otherwise(acc["cost"]).alias("cost"),
@@ -82,10 +87,12 @@ def opening(braces: Column) -> Column:
     return F.length(F.replace(braces, F.lit("}"), F.lit("")))
 
 
-def js_cognitive(content: Column) -> Column:
-    """A line with an opening brace costs the depth plus one; braces move the depth, floored at 0."""
+def js_cognitive(content: Column, depth: Column | None = None) -> Column:
+    """A line with an opening brace costs the depth plus one; braces move the depth, floored at 0. ``depth`` is that in
+    front of the text."""
     steps = F.filter(brace_lines(content), lambda braces: braces != "")
-    zero = F.struct(F.lit(0).alias("cost"), F.lit(0).alias("depth"))
+    start = F.lit(0) if depth is None else depth.cast("int")
+    zero = F.struct(F.lit(0).alias("cost"), start.alias("depth"))
 
     def merge(acc: Column, braces: Column) -> Column:
         return F.struct(

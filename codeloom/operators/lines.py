@@ -127,14 +127,16 @@ def _definition(loc, blanks, comments, interfaces, types, functions) -> Column:
     )
 
 
-def _definition_fold(content: Column, n: Column) -> Column:
+DEFINITION_STATE = ("comments", "interfaces", "types", "functions")
+
+
+def definition_fold(content: Column, opened: Column | None = None) -> Column:
+    """struct(open, comments, interfaces, types, functions) after the lines of a text; ``opened`` says that a block comment
+    is open in front of it."""
     stripped = F.filter(F.transform(lines_of(content), strip), lambda line: line != "")
     zero = F.struct(
-        F.lit(False).alias("open"),
-        F.lit(0).alias("comments"),
-        F.lit(0).alias("interfaces"),
-        F.lit(0).alias("types"),
-        F.lit(0).alias("functions"),
+        (F.lit(False) if opened is None else opened).alias("open"),
+        *[F.lit(0).alias(name) for name in DEFINITION_STATE],
     )
 
     def merge(acc: Column, line: Column) -> Column:
@@ -154,8 +156,12 @@ def _definition_fold(content: Column, n: Column) -> Column:
             (acc["functions"] + function.cast("int")).alias("functions"),
         )
 
+    return F.aggregate(stripped, zero, merge)
+
+
+def _definition_fold(content: Column, n: Column) -> Column:
     return let(
-        F.aggregate(stripped, zero, merge),
+        definition_fold(content),
         lambda acc: _definition(
             n, n - filled_lines(content), acc["comments"], acc["interfaces"], acc["types"], acc["functions"]
         ),

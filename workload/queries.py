@@ -13,6 +13,7 @@ from codeloom.constants.languages import LANGUAGES
 from codeloom.constants.rules import STRICT_RULES
 from codeloom.functions.regex import glob_regex
 from codeloom.functions.text import clean, identifiers
+from codeloom.operators import blocks as bl
 from codeloom.operators import complexity as cx
 from codeloom.operators import discovery as ds
 from codeloom.operators import duplicates as dp
@@ -361,6 +362,14 @@ def cyclomatic(spark, sf_dir):
     return texts.select("project", "path", "language", value.cast("long").alias("cyclomatic"))
 
 
+@registered("SELECT project, path, cognitive::BIGINT AS cognitive FROM cognitive", "cognitive")
+def cognitive_in_blocks(spark, sf_dir):
+    """As ``cognitive``, every file dealt in blocks of 40 lines."""
+    texts = _texts(spark, sf_dir).where(F.length("text") > 0).select("project", "path", "family", F.col("text").alias("content"))
+    found = [bl.cognitive_in_blocks(texts.where(F.col("family") == family), family == "python", 40) for family in ("python", "js")]
+    return found[0].unionByName(found[1])
+
+
 @registered("SELECT project, path, cognitive::BIGINT AS cognitive FROM cognitive", "cognitive")
 def cognitive(spark, sf_dir):
     texts = _texts(spark, sf_dir).where((F.length("text") > 0) & F.col("family").isin("python", "js"))
