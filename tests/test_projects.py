@@ -16,6 +16,7 @@ from codeloom.operators.duplicates import clone_regions, cross_file_duplicates
 from codeloom.operators.scores import grade, issue_band
 from codeloom.plans import compare as cp
 from codeloom.plans import file_metrics as fm
+from codeloom.plans import file_sets as fs
 from codeloom.plans import incremental as inc
 from codeloom.plans import rankings as rk
 from codeloom.plans import reports as rp
@@ -314,3 +315,17 @@ def test_rules_are_rows_and_a_table_function(spark, files_of):
         rt.rules_of(extra.unionByName(extra))
     with pytest.raises(ValueError):
         rt.register(spark, "no name", again)
+
+
+def test_file_sets_merge(spark):
+    rng = random.Random(4)
+    files = spark.createDataFrame([(f"p{k % 3}", f"f{k}") for k in range(400)], "project string, path string")
+    numbers = fs.file_numbers(files).withColumn("file_no", F.col("file_no") * 500).cache()  # many buckets
+    rows = [(f"p{k % 3}", f"f{k}", rng.choice("abc"), rng.randrange(3)) for k in (rng.randrange(400) for _ in range(1500))]
+    hits = spark.createDataFrame(rows, "project string, path string, kind string, day int")
+    days = [fs.sets_of(hits.where(F.col("day") == d), numbers, "project", "kind") for d in range(3)]
+    every = fs.merged(days[0].unionByName(days[1]).unionByName(days[2]), "kind")
+    assert {r.kind: r.n_files for r in fs.sizes(every, "kind").collect()} == {x: len({r[1] for r in rows if r[2] == x}) for x in "abc"}
+    whole = fs.sets_of(hits, numbers, "project", "kind")
+    got = {(r.project, r.kind): r.n_files for r in fs.sizes(whole, "project", "kind").collect()}
+    assert got == {(p, x): len({r[1] for r in rows if (r[0], r[2]) == (p, x)}) for p in ("p0", "p1", "p2") for x in "abc"}

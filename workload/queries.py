@@ -23,6 +23,7 @@ from codeloom.operators.lines import definition_counts
 from codeloom.operators.structure import rust_keyword_complexity
 from codeloom.plans import compare as cp
 from codeloom.plans import file_metrics as fm
+from codeloom.plans import file_sets as fs
 from codeloom.plans import incremental as inc
 from codeloom.plans import rankings as rk
 from codeloom.plans import reports as rp
@@ -703,6 +704,21 @@ def pattern_files(spark, sf_dir):
     return ru.pattern_files(fm.with_patterns(_texts(spark, sf_dir)))
 
 
+@registered(
+    "SELECT type AS pattern, count(DISTINCT (project, path)) AS n_files, count(DISTINCT (project, path)) FILTER (project LIKE 'proj%') AS in_projects "
+    "FROM pattern_hits GROUP BY type",
+    "pattern_hits",
+)
+def pattern_file_sets(spark, sf_dir):
+    """Distinct files of each pattern, merged from sets by project."""
+    metrics = fm.with_patterns(_texts(spark, sf_dir)).select("project", "path", "pattern_counts")
+    numbers = fs.file_numbers(corpus.typed_files(spark, sf_dir))
+    hits = metrics.select("project", "path", F.inline("pattern_counts")).select("project", "path", F.col("type").alias("pattern"))
+    sets = fs.sets_of(hits, numbers, "project", "pattern")
+    some = fs.sizes(fs.merged(sets.where("project LIKE 'proj%'"), "pattern"), "pattern").withColumnRenamed("n_files", "in_projects")
+    return fs.sizes(fs.merged(sets, "pattern"), "pattern").join(some, "pattern", "left").na.fill(0, ["in_projects"])
+
+
 # Projects
 
 
