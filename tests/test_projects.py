@@ -237,8 +237,10 @@ def test_nested_report_streams_projects(spark, tmp_path):
     assert held["%C3%BC.json"] == {"project": {"total_files": 2, "languages": {"python": 2}}, "files": [
         {"path": "a.py", "loc": 2}, {"path": "x.py", "loc": 1}]}
     assert held["none.json"]["files"] == []
-    write_nested(files.where("project = 'ü'"), projects.where("project = 'ü'"), str(tmp_path / "out"))
+    write_nested(files.where("project = 'ü'"), projects.where("project = 'ü'"), f"file://{tmp_path}/out")
     assert os.listdir(tmp_path / "out") == ["%C3%BC.json"]
+    with pytest.raises(Exception, match="not a mounted folder"):
+        write_nested(files, projects, "hdfs://host/out")
 
 
 @pytest.mark.parametrize("parts", [1, 3, 64])
