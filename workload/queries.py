@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.constants.exclusions import EXCLUDED_DIRS, EXCLUDED_FILES, TEST_DIRS
-from codeloom.constants.languages import LANGUAGES
+from codeloom.constants.languages import LANGUAGES, Extension
 from codeloom.constants.rules import STRICT_RULES
 from codeloom.functions.regex import glob_regex
 from codeloom.functions.text import clean, identifiers
@@ -32,6 +32,7 @@ from codeloom.plans import rule_tables as rt
 from codeloom.plans.order import ranked_table
 from codeloom.plans.registry import Analyzer, Provider
 from codeloom.sources.shared import shared_folder
+from codeloom.sources.tables import from_table
 from workload import corpus
 from workload.oracle import LEVEL, NL, count, query, text
 from workload.oracle import words as sql_words
@@ -945,6 +946,52 @@ def nested_report(spark, sf_dir):
     )
 
 
+@registered(
+    "SELECT format, project, path, language, loc, sloc FROM (SELECT *, loc - blanks - comments AS sloc FROM line_counts), "
+    "(VALUES ('json'), ('parquet'), ('csv')) AS f(format)",
+    "line_counts",
+)
+def written_report(spark, sf_dir):
+    """A report table, written in every format and read again."""
+    folder = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    table = _lines(spark, sf_dir).select("project", "path", "language", "loc", "sloc")
+    rp.write_report(table, folder, "all")
+    out = None
+    for name in rp.FORMATS:
+        rows = spark.read.format(name).option("header", True).load(f"{folder}/{name}")
+        rows = rows.select(F.lit(name).alias("format"), *[F.col(c).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@registered(
+    "SELECT project, path, CASE WHEN length(path) % 5 = 0 THEN 0 ELSE size_bytes END AS size_bytes, "
+    "length(path) % 7 <> 0 AS dated, md5(content) AS content_md5 FROM files"
+)
+def loaded_table(spark, sf_dir):
+    """A raw table with gaps, bytes and other line ends, loaded as a files table."""
+    files = corpus.files(spark, sf_dir)
+    odd = F.replace("content", F.lit("\n"), F.when(F.length("path") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\r")))
+    raw = files.select(
+        "project", "path", F.when(F.length("path") % 5 != 0, F.col("size_bytes")).alias("size_bytes"),
+        F.when(F.length("path") % 7 != 0, F.col("modified_at")).alias("modified_at"), odd.cast("binary").alias("content"),
+    )
+    dated = (F.unix_timestamp("modified_at") > 86_400).alias("dated")
+    return from_table(raw).select("project", "path", "size_bytes", dated, F.md5("content").alias("content_md5"))
+
+
+@registered(
+    "SELECT project, CASE WHEN path LIKE '%.go' THEN 'golang' ELSE language END AS language, count(*) AS files, "
+    "any_value(CASE WHEN path LIKE '%.go' THEN '#' ELSE comment_marker END) AS marker FROM typed GROUP BY ALL"
+)
+def added_language(spark, sf_dir):
+    """A language added at run time, which wins over the catalogue's."""
+    analyzer = Analyzer(include_tests=True)
+    analyzer.register_extension(Extension(".go", "golang", "other", "#"))
+    typed = analyzer.discover(corpus.files(spark, sf_dir))
+    return typed.groupBy("project", "language").agg(F.count("*").alias("files"), F.min("comment_marker").alias("marker"))
+
+
 @registered()
 def json_report(spark, sf_dir):
     """One JSON document per project and per file."""
