@@ -23,7 +23,8 @@ def numbered(rows: DataFrame, keys: Mapping[str, Column], name: str = "rank", pa
     """``rows`` with their number from 1 in the order of ``keys``, columns by name, ascending and without nulls.
 
     Ranges of keys are numbered each in its task, from the number of rows in the ranges before. The ranges are literals of
-    the plan, so a task that runs again numbers alike. Rows with equal keys all lie in one range.
+    the plan, so a task that runs again numbers alike. Rows with equal keys all lie in one range. The table is read three
+    times (bounds, counts, numbers): one that is costly to make is best stored first.
     """
     names = list(keys)
     keyed = rows.withColumns(dict(keys))

@@ -712,10 +712,9 @@ def pattern_files(spark, sf_dir):
 )
 def pattern_file_sets(spark, sf_dir):
     """Distinct files of each pattern, merged from sets by project."""
-    metrics = fm.with_patterns(_texts(spark, sf_dir)).select("project", "path", "pattern_counts")
-    numbers = fs.file_numbers(corpus.typed_files(spark, sf_dir))
-    hits = metrics.select("project", "path", F.inline("pattern_counts")).select("project", "path", F.col("type").alias("pattern"))
-    sets = fs.sets_of(hits, numbers, "project", "pattern")
+    numbers = fs.file_numbers(_stored(spark, corpus.typed_files(spark, sf_dir).select("project", "path")))
+    hits = ru.pattern_files(fm.with_patterns(_texts(spark, sf_dir)))
+    sets = _stored(spark, fs.sets_of(hits, numbers, "project", "pattern"))
     some = fs.sizes(fs.merged(sets.where("project LIKE 'proj%'"), "pattern"), "pattern").withColumnRenamed("n_files", "in_projects")
     return fs.sizes(fs.merged(sets, "pattern"), "pattern").join(some, "pattern", "left").na.fill(0, ["in_projects"])
 
@@ -763,6 +762,13 @@ def project_summary(spark, sf_dir):
     return _rounded(_summary(spark, sf_dir), *_ROUNDED)
 
 
+def _stored(spark, table):
+    """table, written to the shared folder and read again, for what reads it several times."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _yesterday(files):
     """The corpus as it was before one file in 97 changed, one was added, one was removed and one only touched."""
     draw = F.pmod(F.xxhash64("project", "path"), F.lit(97))
@@ -784,17 +790,11 @@ def _yesterday(files):
 )
 def incremental_summary(spark, sf_dir):
     """Yesterday's analysis, stored and brought up to date by the files that have changed since."""
-    folder = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
-
-    def stored(name, table):
-        table.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
     files = corpus.files(spark, sf_dir)
     was = _yesterday(files)
-    metrics = stored("metrics", fm.file_metrics(with_language(was)))
-    before = inc.State(stored("snapshot", inc.snapshot(was)), metrics, stored("totals", inc.totals_of(metrics)))
-    moved = stored("moved", inc.difference(before.snapshot, files))
+    metrics = _stored(spark, fm.file_metrics(with_language(was)))
+    before = inc.State(_stored(spark, inc.snapshot(was)), metrics, _stored(spark, inc.totals_of(metrics)))
+    moved = _stored(spark, inc.difference(before.snapshot, files))
     return _rounded(inc.summary(inc.updated(before, files, moved).totals), *_ROUNDED)
 
 
@@ -913,7 +913,7 @@ def compare_projects(spark, sf_dir):
 )
 def ranked_files(spark, sf_dir):
     """All files of all projects, ranked by source lines."""
-    return ranked_table(_lines(spark, sf_dir).select("project", "path", "sloc"), "sloc")
+    return ranked_table(_stored(spark, _lines(spark, sf_dir).select("project", "path", "sloc")), "sloc")
 
 
 @registered(
@@ -927,9 +927,7 @@ def ranked_files(spark, sf_dir):
 def nested_report(spark, sf_dir):
     """The nested documents, written, read again and taken apart."""
     folder = f"{shared_folder(spark)}/nested-{uuid.uuid4().hex}"
-    metrics = f"{folder}/metrics"
-    _judged(spark, sf_dir).write.parquet(metrics)
-    metrics = spark.read.parquet(metrics)
+    metrics = _stored(spark, _judged(spark, sf_dir))
     files = rp.file_report(metrics)
     projects = rp.project_report(ru.project_summary(metrics), ru.files_by_language(metrics))
     rp.write_nested(files, projects.withColumn("name", F.col("project")), f"{folder}/report")
