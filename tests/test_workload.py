@@ -45,3 +45,18 @@ def test_corpus_fires_every_rule(spark):
     fired |= {r.rule_id for r in fm.code_smells(corpus.typed_files(spark, SMALL)).select("rule_id").distinct().collect()}
     expected = {r.rule_id for r in [*R.SECURITY_RULES, *R.SMELL_RULES, *R.PATTERN_RULES]}
     assert expected - fired == set()
+
+
+def test_rows_of_one_row_group_are_dealt_to_several_tasks(spark, tmp_path):
+    rows = spark.range(25_000).selectExpr(
+        "id AS o_orderkey", "id % 100 AS o_custkey", "timestamp '2024-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority"
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    number = spark.conf.get(corpus.PARTITIONS)
+    spark.conf.unset(corpus.PARTITIONS)
+    try:
+        files = corpus.files(spark, str(tmp_path), parts=("orders",)).select("path")
+        sizes = files.rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set(corpus.PARTITIONS, number)
+    assert sum(sizes) == 25_000 and len(sizes) == 3 and max(sizes) <= 10_000
