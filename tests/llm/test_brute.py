@@ -274,3 +274,12 @@ def test_pipeline_stages(spark):
     encoded = stages["byte-level BPE"](spark, mixed, SMALL).collect()
     assert len(encoded) == mixed.count() and all(r.round_trip for r in encoded)
     assert corpus_pipeline.run(spark, SMALL).count() == len(encoded)
+
+
+def test_blocks_of_texts_leave_no_tables_of_their_steps(spark):
+    texts = spark.createDataFrame([(k, f"a{k} b c{k % 7}") for k in range(50)], "doc_id long, text string")
+    folder = pseudo_likelihood.tidied(texts).inputFiles()[0].rsplit("/", 2)[0].removeprefix("file:")
+    before = set(os.listdir(folder))
+    counts, _ = pseudo_likelihood.fit(texts)
+    left = {f.rsplit("/", 2)[1] for t in (counts.words, counts.ready[1]) for f in t.inputFiles()}
+    assert set(os.listdir(folder)) - before == left
