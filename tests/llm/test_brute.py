@@ -283,3 +283,17 @@ def test_blocks_of_texts_leave_no_tables_of_their_steps(spark):
     counts, _ = pseudo_likelihood.fit(texts)
     left = {f.rsplit("/", 2)[1] for t in (counts.words, counts.ready[1]) for f in t.inputFiles()}
     assert set(os.listdir(folder)) - before == left
+
+
+def test_blocks_in_one_row_train_as_alone(spark, monkeypatch):
+    texts = [(k, " ".join(f"w{(k * j) % 97}" for j in range(40 + k % 9))) for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK_BYTES", 2000)
+    models, rows = [], []
+    for together in (8, 1):
+        monkeypatch.setattr(pseudo_likelihood, "TOGETHER", together)
+        counts, model = pseudo_likelihood.fit(docs)
+        models.append(model)
+        rows.append(counts.ready[1].count())
+    assert rows[0] < rows[1]
+    assert all(np.allclose(models[0][k], models[1][k], atol=1e-4) for k in models[0])
