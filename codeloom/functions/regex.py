@@ -42,6 +42,22 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iud)" if ignore_case else "(?d)") + out
 
 
+def plain(pattern: str) -> str:
+    """A pattern of ``java_regex`` for text that is all ASCII, where it matches the same: classes that Java looks up in a
+    table, and its own word boundary."""
+    for general, ascii_only in (
+        (_BOUNDARY, r"\b"),
+        (SPACE_RANGES, r"\t-\r\x1c-\x20"),
+        (INLINE_SPACE_RANGES, r"\t\x0b-\r\x1c-\x20"),
+        (WORD_BEHIND, "[A-Za-z0-9_]"),
+        (WORD, "[A-Za-z0-9_]"),
+        (r"\p{Nd}", "[0-9]"),
+        ("(?iud)", "(?id)"),
+    ):
+        pattern = pattern.replace(general, ascii_only)
+    return pattern
+
+
 def glob_regex(glob: str) -> str:
     """A whole-name regular expression for a file glob (`*` and `?` only)."""
     return "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in glob)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import let, newlines
 
-# Appending to an array copies it, so results are gathered in blocks of this size.
-BLOCK = 256
+# Appending to an array copies it, so results are gathered in blocks of this size: half a block is copied for each result,
+# and the list of blocks for each block.
+BLOCK = 64
 CONTEXT_CHARS = 20
 LOCATION = "struct<position:int,line:int,col:int>"
 

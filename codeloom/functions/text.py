@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codeloom.functions.regex import SPACE_CHARS, SPACE_RANGES, WORD, WORD_BEHIND, java_regex
+from codeloom.functions.regex import SPACE_CHARS, SPACE_RANGES, WORD, WORD_BEHIND, java_regex, plain
 
 
 def strip(text: Column) -> Column:
@@ -45,7 +45,7 @@ def occurrences(text: Column, part: str) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Number of pieces that splitting on line feeds gives; 0 for empty text."""
-    return F.when(F.length(text) > 0, newlines(text) + 1).otherwise(F.lit(0))
+    return F.when(F.octet_length(text) > 0, F.size(lines_of(text))).otherwise(F.lit(0))
 
 
 def iterated_lines(text: Column) -> Column:
@@ -59,28 +59,33 @@ def is_ascii(text: Column) -> Column:
 
 def filled_lines(text: Column) -> Column:
     """Number of lines with a character that is not white space, in one pass. ASCII text takes plain
-    character classes, which Java looks up in a table."""
-    ascii_only = F.regexp_count(text, F.lit(r"[^\t-\r\x1c-\x20][^\n]*+"))
-    return F.when(is_ascii(text), ascii_only).otherwise(
-        F.regexp_count(text, F.lit(f"[^{SPACE_RANGES}][^\\n]*+"))
-    )
+    character classes, which Java looks up in a table. Of each line only its first such character is taken out."""
+    return F.size(matches(text, f"([^{SPACE_RANGES}])[^\\n]*+", 1))
 
 
 def identifiers(text: Column) -> Column:
     """All whole words that are ASCII identifiers; every keyword is one of them."""
-    ascii_only = r"[A-Za-z_](?<![0-9A-Za-z_][A-Za-z_])[A-Za-z0-9_]*+"
+    ascii_only = r"\b[A-Za-z_][A-Za-z0-9_]*+"
     general = f"(?<!{WORD_BEHIND})[A-Za-z_][A-Za-z0-9_]*+(?!{WORD})"
     return F.when(is_ascii(text), F.regexp_extract_all(text, F.lit(ascii_only), F.lit(0))).otherwise(
         F.regexp_extract_all(text, F.lit(general), F.lit(0))
     )
 
 
+def matches(text: Column, regex: str, group: int = 0) -> Column:
+    """All matches of a Java pattern, by its ``plain`` form where the text is all ASCII."""
+    general = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+    if plain(regex) == regex:
+        return general
+    return F.when(is_ascii(text), F.regexp_extract_all(text, F.lit(plain(regex)), F.lit(group))).otherwise(general)
+
+
 def count_matches(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(java_regex(pattern)))
+    return F.size(all_matches(text, pattern))
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(java_regex(pattern)), F.lit(group))
+    return matches(text, java_regex(pattern), group)
 
 
 def count_where(items: Column, predicate: Callable[[Column], Column]) -> Column:

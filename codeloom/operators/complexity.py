@@ -11,7 +11,7 @@ from codeloom.constants.levels import (
 )
 from codeloom.functions.regex import WORD, WORD_BEHIND
 from codeloom.functions.text import (
-    banded, contains_any, count_matches, count_where, let, lines_of, occurrences, strip,
+    banded, contains_any, count_matches, count_where, let, lines_of, matches, occurrences, strip,
 )
 
 OPERATOR_RUN = r"[+\-*/=<>!&|^~%]+"
@@ -126,7 +126,7 @@ def halstead_parts(content: Column, family: Column, tokens: Column) -> Column:
         F.regexp_extract_all(content, F.lit(OPERATOR_RUN + "+"), F.lit(0)).alias("symbols"),
         keywords.alias("keywords"),
         tokens.alias("words"),
-        F.regexp_extract_all(content, F.lit(NUMBER), F.lit(0)).alias("numbers"),
+        matches(content, NUMBER).alias("numbers"),
         F.when(
             contains_any(content, ('"', "'")),
             F.regexp_extract_all(content, F.lit("(?d)" + STRING_LITERAL), F.lit(0)),

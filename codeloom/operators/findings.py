@@ -16,7 +16,7 @@ from codeloom.constants.levels import CODE_INDICATORS
 from codeloom.constants.rules import (
     JS_FUNCTIONS, PATTERN_RULES, PYTHON_FUNCTION, SECURITY_RULES, SIEVES, SMELL_RULES, Rule,
 )
-from codeloom.functions.regex import INLINE_SPACE_RANGES, SPACE_RANGES, java_regex
+from codeloom.functions.regex import INLINE_SPACE_RANGES, SPACE_RANGES, java_regex, plain
 from codeloom.functions.scan import MARK, locate, locate_with_context, running, scan, split_by
 from codeloom.functions.text import contains_any, let, lines_of, newlines, split_lines, strip
 from codeloom.operators.complexity import brace_lines, opening
@@ -36,31 +36,38 @@ def _quoted(value: str | None) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _pack_sql(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -> str:
-    """array of ``one(rule)`` for the rules of the file's family; null for other families.
+def _pack_sql(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rule, bool], str]) -> str:
+    """array of ``one(rule, ascii)`` for the rules of the file's family; null for other families. ``ascii`` tells that the
+    text is all ASCII, so that patterns can take their ``plain`` form.
 
     Packs are SQL text: a pack of sixty rules is then one expression to build, and every pattern is
     a literal that Spark compiles once per task.
     """
-    packs: dict[str, list[str]] = {}
-    for rule in rules:
-        packs.setdefault(rule.family, []).append(one(rule))
-    branches = " ".join(
-        f"WHEN {family} = {_quoted(name)} THEN array({', '.join(items)})" for name, items in packs.items()
-    )
-    pack = f"CASE {branches} END"
+
+
+    def of(ascii_only: bool) -> str:
+        packs: dict[str, list[str]] = {}
+        for rule in rules:
+            packs.setdefault(rule.family, []).append(one(rule, ascii_only))
+        branches = " ".join(
+            f"WHEN {family} = {_quoted(name)} THEN array({', '.join(items)})" for name, items in packs.items()
+        )
+        return f"CASE {branches} END"
+
+    pack = f"IF(octet_length({text}) = length({text}), {of(True)}, {of(False)})"
     if any(rule.ignore_case for rule in rules):
         pack = f"element_at(transform(array(lower({text})), low -> {pack}), 1)"
     return pack
 
 
-def _by_family(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rule], str]) -> Column:
+def _by_family(text: str, family: str, rules: Sequence[Rule], one: Callable[[Rule, bool], str]) -> Column:
     return F.expr(_pack_sql(text, family, rules, one))
 
 
-def _regex(rule: Rule) -> str:
+def _regex(rule: Rule, ascii_only: bool) -> str:
     pattern = rule.pattern if rule.sieve is None else rule.sieve.pattern
-    return _quoted(java_regex(pattern, rule.ignore_case))
+    regex = java_regex(pattern, rule.ignore_case)
+    return _quoted(plain(regex) if ascii_only else regex)
 
 
 def _part(text: str, rule: Rule) -> str:
@@ -76,14 +83,14 @@ def _part(text: str, rule: Rule) -> str:
     return f"concat({text}, IF({text} = '', '', {_quoted(closing)}))" if closing else text
 
 
-def _hits(text: str, rule: Rule, group: int = 0) -> str:
-    return f"regexp_extract_all({_part(text, rule)}, {_regex(rule)}, {group})"
+def _hits(text: str, rule: Rule, ascii_only: bool, group: int = 0) -> str:
+    return f"regexp_extract_all({_part(text, rule)}, {_regex(rule, ascii_only)}, {group})"
 
 
-def _marks(text: str, rule: Rule) -> str | None:
+def _marks(text: str, rule: Rule, ascii_only: bool) -> str | None:
     """For a pattern that also eats: one text per hit, empty for what was only eaten."""
     eats = rule.sieve is not None and rule.sieve.group
-    return _hits(text, rule, rule.sieve.group) if eats else None
+    return _hits(text, rule, ascii_only, rule.sieve.group) if eats else None
 
 
 def _described(rule: Rule) -> str:
@@ -97,15 +104,13 @@ def _described(rule: Rule) -> str:
     return f"named_struct({pairs}, 'drops', cast(array({drops}) as array<string>))"
 
 
-def _guarded(text: str, rule: Rule, value: str) -> str:
+def _guarded(text: str, rule: Rule, ascii_only: bool, value: str) -> str:
     """``value`` if the file holds a text that every match needs, else null. ``low`` is the text in lower case: letters
     beyond ASCII can match ASCII ones when case is ignored, so other texts are always tried."""
-    if rule.literal is None:
+    if rule.literal is None or (rule.ignore_case and not ascii_only):
         return value
     literals = (rule.literal,) if isinstance(rule.literal, str) else rule.literal
     held = " OR ".join(f"contains({'low' if rule.ignore_case else text}, {_quoted(part)})" for part in literals)
-    if rule.ignore_case:
-        held = f"octet_length({text}) <> length({text}) OR {held}"
     return f"IF({held}, {value}, NULL)"
 
 
@@ -116,14 +121,14 @@ def _excused(text: Column, rule: Column) -> Column:
 def counts_sql(text: str, family: str, rules: Sequence[Rule]) -> str:
     """``rule_counts`` as SQL text over two names."""
 
-    def one(rule: Rule) -> str:
-        n = f"regexp_count({_part(text, rule)}, {_regex(rule)})"
-        if _marks(text, rule):
-            n = f"size(filter({_marks(text, rule)}, mark -> mark <> ''))"
+    def one(rule: Rule, ascii_only: bool) -> str:
+        n = f"regexp_count({_part(text, rule)}, {_regex(rule, ascii_only)})"
+        if _marks(text, rule, ascii_only):
+            n = f"size(filter({_marks(text, rule, ascii_only)}, mark -> mark <> ''))"
         if rule.drop_literals:
             excused = " OR ".join(f"contains(hit, {_quoted(part)})" for part in rule.drop_literals)
-            n = f"size(filter({_hits(text, rule)}, hit -> NOT ({excused})))"
-        return f"named_struct('rule', {_described(rule)}, 'n', {_guarded(text, rule, n)})"
+            n = f"size(filter({_hits(text, rule, ascii_only)}, hit -> NOT ({excused})))"
+        return f"named_struct('rule', {_described(rule)}, 'n', {_guarded(text, rule, ascii_only, n)})"
 
     fields = ", ".join(f"'{name}', c.rule.{name}" for name in ("rule_id", "type", "severity", "level"))
     matched = f"filter({_pack_sql(text, family, rules, one)}, c -> c.n > 0)"
@@ -152,11 +157,12 @@ def _matched(text: str, family: str, rules: Sequence[Rule]) -> Column:
     """array<struct<rule,parts>> of the rules that match, the text split by each of them; ``marks`` tells hits from
     what was only eaten and is null for patterns that don't eat."""
 
-    def one(rule: Rule) -> str:
+    def one(rule: Rule, ascii_only: bool) -> str:
+        regex = _regex(rule, ascii_only)
         part, group = _part(text, rule), rule.sieve.group if rule.sieve else 0
         # as functions.scan.split_by, with the group behind each hit where there is one
         tail = f"{MARK}${group}" if group else ""
-        cut = f"split(regexp_replace({part}, {_regex(rule)}, '{MARK}$0{tail}{MARK}'), '{MARK}', -1)"
+        cut = f"split(regexp_replace({part}, {regex}, '{MARK}$0{tail}{MARK}'), '{MARK}', -1)"
         every = 3 if group else 2
         nth = lambda k: f"filter(p, (_, i) -> i % {every} = {k})"
         marks = nth(2) if group else "cast(null as array<string>)"
@@ -165,12 +171,12 @@ def _matched(text: str, family: str, rules: Sequence[Rule]) -> Column:
             f"named_struct('gaps', {nth(0)}, 'hits', {nth(1)}, 'marks', {marks})), 1)"
         )
         twice = (
-            f"named_struct('gaps', split({part}, {_regex(rule)}, -1), "
-            f"'hits', {_hits(text, rule)}, "
-            f"'marks', {_marks(text, rule) or 'cast(null as array<string>)'})"
+            f"named_struct('gaps', split({part}, {regex}, -1), "
+            f"'hits', {_hits(text, rule, ascii_only)}, "
+            f"'marks', {_marks(text, rule, ascii_only) or 'cast(null as array<string>)'})"
         )
         parts = f"IF(contains({text}, '{MARK}'), {twice}, {once})"
-        return f"named_struct('rule', {_described(rule)}, 'parts', {_guarded(text, rule, parts)})"
+        return f"named_struct('rule', {_described(rule)}, 'parts', {_guarded(text, rule, ascii_only, parts)})"
 
     return F.filter(
         _by_family(text, family, rules, one),
@@ -321,6 +327,7 @@ def python_functions(content: Column, longer_than: int = -1) -> Column:
 
 
 MINIMUM_BLOCK = 256
+NEAR_LINES = 16  # where most functions end
 
 
 def _brace_table(content: Column) -> Column:
@@ -373,8 +380,8 @@ def _first_at_most(values: Column, target: Column) -> Column:
 
 
 def _lines_to_balance(table: Column, line: Column, target: Column) -> Column:
-    """Lines after ``line`` until the balance falls to the target, or to the end of the file:
-    the rest of the line's own block first, then block minima, then the block they point to."""
+    """Lines after ``line`` until the balance falls to the target, or to the end of the file: the next lines first, then the
+    rest of the line's own block, then block minima, then the block they point to."""
     own = F.floor((line - 1) / MINIMUM_BLOCK).cast("int")
     rest = F.slice(F.get(table["blocks"], own), line - own * MINIMUM_BLOCK + 1, F.lit(MINIMUM_BLOCK))
 
@@ -387,9 +394,13 @@ def _lines_to_balance(table: Column, line: Column, target: Column) -> Column:
             ),
         )
 
+    def in_block(_: Column) -> Column:
+        return let(_first_at_most(rest, target), lambda k: F.when(k > 0, k).otherwise(beyond(k)))
+
+    next_lines = F.slice(table["depth"], line + 1, F.lit(NEAR_LINES))
     return let(
-        _first_at_most(rest, target),
-        lambda near: F.when(near > 0, near).otherwise(beyond(near)),
+        _first_at_most(next_lines, target),
+        lambda near: F.when(near > 0, near).otherwise(in_block(near)),
     )
 
 
@@ -506,7 +517,7 @@ def function_length_findings(content: Column, family: Column) -> Column:
 
     # A shorter file cannot hold a long function.
     return F.when(
-        newlines(content) > SHORTEST_LONG_FUNCTION,
+        split_lines(content) > SHORTEST_LONG_FUNCTION + 1,
         F.transform(
             F.filter(
                 functions_of(content, family, SHORTEST_LONG_FUNCTION),
