@@ -109,7 +109,8 @@ def size_histogram(metrics: DataFrame) -> DataFrame:
 
 
 def _exploded(metrics: DataFrame, counts: str, *keys: str) -> DataFrame:
-    return metrics.select("project", *keys, F.inline(counts))
+    """One row per rule that a file breaks. Outer and a filter behind it, as in ``dependency_counts``."""
+    return metrics.select("project", *keys, F.inline_outer(counts)).where(F.col("n").isNotNull())
 
 
 def security_by_level(metrics: DataFrame) -> DataFrame:

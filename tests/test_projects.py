@@ -85,6 +85,13 @@ def test_dependencies(metrics):
     assert rows == [("import os", 2), ("use_statement_1", 1)]
 
 
+def test_rules_run_once_under_security_by_level(typed_of):
+    levels = ru.security_by_level(fm.with_security(fm.with_text(typed_of(FILES))))
+    plan = levels._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "regexp_extract_all" in line]
+    assert sorted((r.level, r.issues) for r in levels.collect()) == [("critical", 2), ("high_risk", 1)]
+
+
 def test_compare(metrics):
     rows = {r.metric: r for r in cp.compare(ru.project_summary(metrics), "p", "bare").collect()}
     assert rows["Files"].difference_shown == "-2" and rows["Classes"].difference_shown == "0"
