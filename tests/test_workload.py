@@ -13,7 +13,7 @@ from codeloom.constants import rules as R  # noqa: E402
 from codeloom.plans import file_metrics as fm  # noqa: E402
 from conftest import SMALL  # noqa: E402
 from tools.check_oracle import compare, connect  # noqa: E402
-from workload import corpus  # noqa: E402
+from workload import corpus, queries  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,16 @@ def test_rows_of_one_row_group_are_dealt_to_several_tasks(spark, tmp_path):
     finally:
         spark.conf.set(corpus.PARTITIONS, number)
     assert sum(sizes) == 25_000 and len(sizes) == 3 and max(sizes) <= 10_000
+
+
+def test_reports_measure_every_file_once(spark, monkeypatch):
+    kept = []
+    stored = queries._stored
+    monkeypatch.setattr(queries, "_stored", lambda spark, table: kept.append(table.columns) or stored(spark, table))
+    report = entry.queries()["json_report"](spark, SMALL)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # files and sums come from the stored table
+    assert len(kept) == 1 and not any({"content", "text", "spans", "structure"} & set(columns) for columns in kept)
+    files, projects = (report.where(F.col("part") == part).count() for part in ("file", "project"))
+    metrics = entry.queries()["file_report"](spark, SMALL)
+    assert files == metrics.count() and projects == metrics.select("project").distinct().count()

@@ -769,6 +769,19 @@ def _stored(spark, table):
     return spark.read.parquet(path)
 
 
+#: What reports and the summary read of a measured file.
+REPORTED = (
+    *fm.KEY, "size_bytes", "loc", "blanks", "comments", "sloc", "classes", "functions", "methods", "cyclomatic",
+    "maintainability_index", "complexity_score", "complexity_level", "n_security", "n_smells", "duplicated_lines",
+)
+
+
+def _reported(spark, sf_dir):
+    """The per-file table of a report: stored, as it is read as files and as sums, and without the texts and spans that
+    it was measured on."""
+    return _stored(spark, _judged(spark, sf_dir).select(*REPORTED))
+
+
 def _yesterday(files):
     """The corpus as it was before one file in 97 changed, one was added, one was removed and one only touched."""
     draw = F.pmod(F.xxhash64("project", "path"), F.lit(97))
@@ -993,7 +1006,7 @@ def added_language(spark, sf_dir):
 @registered()
 def json_report(spark, sf_dir):
     """One JSON document per project and per file."""
-    metrics = _judged(spark, sf_dir)
+    metrics = _reported(spark, sf_dir)
     projects = rp.project_report(ru.project_summary(metrics), ru.files_by_language(metrics))
     return rp.json_report(rp.file_report(metrics), projects)
 
