@@ -69,7 +69,8 @@ def test_reports_measure_every_file_once(spark, monkeypatch):
     report = entry.queries()["json_report"](spark, SMALL)
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan  # files and sums come from the stored table
-    assert len(kept) == 1 and not any({"content", "text", "spans", "structure"} & set(columns) for columns in kept)
+    entry.queries()["nested_report"](spark, SMALL)
+    assert len(kept) == 2 and not any({"content", "text", "spans", "structure"} & set(columns) for columns in kept)
     files, projects = (report.where(F.col("part") == part).count() for part in ("file", "project"))
     metrics = entry.queries()["file_report"](spark, SMALL)
     assert files == metrics.count() and projects == metrics.select("project").distinct().count()
