@@ -297,3 +297,19 @@ def test_blocks_in_one_row_train_as_alone(spark, monkeypatch):
         rows.append(counts.ready[1].count())
     assert rows[0] < rows[1]
     assert all(np.allclose(models[0][k], models[1][k], atol=1e-4) for k in models[0])
+
+
+def test_language_model_tables_are_packed(spark):
+    docs = spark.createDataFrame([(k, f"alpha beta w{k} v{k % 7}") for k in range(300)], "doc_id long, text string")
+    counts, _ = pseudo_likelihood.fit(docs)
+    for table in (counts.words, counts.ready[1]):
+        assert all(".zstd." in name for name in table.inputFiles())
+
+
+def test_sums_by_place():
+    rng = np.random.default_rng(3)
+    at, values = rng.integers(0, 9, 200), rng.normal(size=(200, 5)).astype(np.float32)
+    sums = pseudo_likelihood._summed(at, values, 11)
+    plain_sums = np.stack([np.bincount(at, values[:, k], 11) for k in range(5)], axis=1)
+    assert (sums == plain_sums).all() and not sums[9:].any()
+    assert pseudo_likelihood._summed(at[:0], values[:0], 4).shape == (4, 5)
